@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import sentencepiece_codec, token_counts
+from larkspur.llm import quality_rules, sentencepiece_codec, token_counts
 from larkspur.llm.common import table
 
 
@@ -19,12 +19,17 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_quality_rules": op2_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {}
