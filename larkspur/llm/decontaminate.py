@@ -13,7 +13,7 @@ words, or all of a shorter item, and contains the hit.
 The documents never shuffle: scan, explosion, seeds, broadcast join and the cutting of
 windows run in one generated stage that refers to each row's word array without copying it,
 and only the distinct windows around hits leave it. The benchmark is the stated query set;
-it is broadcast in blocks of a measured size, one pass over the documents for each block,
+it is broadcast in blocks of a measured size (two windows of at most 50 words for each word), one pass over the documents for each block,
 so its size is never assumed. Usually it is one block.
 """
 
@@ -28,7 +28,7 @@ MASKS = ((0, 5, 6, 7), (0, 1, 3, 4))
 WINDOW = 50
 SHARE = 0.8
 LEAST_WORDS = 8
-BLOCK_WORDS = 200_000
+BLOCK_WORDS = 20_000
 GAP = r"[^\p{L}\p{N}]+"
 
 
@@ -77,16 +77,18 @@ def overlaps(
     lines = _seeded(lines, ["id"])
     found = []
     for block in blocks(benchmark_items(benchmark, item_col, item_text)):
-        seeds = _seeded(block, ["item"]).select("item", F.col("w").alias("iw"), F.col("at").alias("iat"), F.col("seed").alias("iseed"))
+        size = F.least(F.size("w"), F.lit(window))
+        first = F.greatest(F.lit(0), F.least(F.col("at") - F.expr(f"({window} - 8) div 2").cast("int"), F.size("w") - size))
+        seeds = _seeded(block, ["item"]).select(
+            "item", F.slice("w", first + 1, size).alias("iw"), (F.col("at") - first).alias("back"), F.col("seed").alias("iseed")
+        )
         hits = lines.join(F.broadcast(seeds), F.col("seed") == F.col("iseed"))
-        size = F.least(F.size("iw"), F.lit(window))
-        first = F.greatest(F.lit(0), F.least(F.col("iat") - F.floor((size - 8) / 2).cast("int"), F.size("iw") - size))
-        hits = hits.select("id", "item", "w", "iw", (F.col("at") - F.col("iat") + first).alias("start"), size.alias("size"), first.alias("first"))
-        lead = F.greatest(F.lit(0), -F.col("start"))
+        start = F.col("at") - F.col("back")
+        lead = F.greatest(F.lit(0), -start)
         hits = hits.select(
-            "id", "item", lead.alias("lead"), F.slice("iw", F.col("first") + 1, F.col("size")).alias("iw"),
-            F.slice("w", F.greatest(F.lit(0), F.col("start")) + 1, F.col("size") - lead).alias("w"),
-        ).groupBy("id", "item", "lead", "iw", "w").agg(F.count(F.lit(1)).alias("n"))
+            "id", "item", lead.alias("lead"), "iw", F.slice("w", F.greatest(F.lit(0), start) + 1, F.size("iw") - lead).alias("w")
+        )
+        hits = hits.groupBy("id", "item", "lead", "iw", "w").agg(F.count(F.lit(1)).alias("n"))
         same = F.expr("aggregate(sequence(0, size(iw) - 1), 0, (n, k) -> n + if(get(w, k - lead) <=> get(iw, k), 1, 0))")
         hits = hits.select("id", "item", (same / F.size("iw")).alias("overlap"), "n")
         hits = hits.groupBy("id", "item").agg(F.max("overlap").alias("overlap"), F.sum("n").alias("n_hits"))
