@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontaminate, license_scan, quality_rules, secret_scan, sentencepiece_codec, simhash, token_counts
+from larkspur.llm import decontaminate, language_id, license_scan, quality_rules, secret_scan, sentencepiece_codec, simhash, token_counts
 from larkspur.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op4_license_scans": op4_license_scans,
     "op5_simhash": op5_simhash,
     "op6_secret_scans": op6_secret_scans,
+    "op7_language_id": op7_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
 }
