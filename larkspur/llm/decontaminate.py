@@ -24,6 +24,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.shared import without
+
 MASKS = ((0, 5, 6, 7), (0, 1, 3, 4))
 WINDOW = 50
 SHARE = 0.8
@@ -122,6 +124,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that overlap no item, all columns as they were."""
-    found = overlaps(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("found_id")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found["found_id"]), "left_anti")
+    """The documents that overlap no item, all columns as they were; edge cases as in :func:`contaminated`."""
+    return without(docs, overlaps(docs, benchmark, id_col, text_col, **options), [id_col])

@@ -28,7 +28,7 @@ from larkspur.llm.common import map_texts
 from larkspur.llm.shared import cut_lineage
 
 SAMPLE_ROWS = 4000
-LEAST_LABELLED = 20
+LEAST_LABELLED = 5
 BUCKETS = 1 << 16
 WEIGHT = 200.0
 SMOOTH = 20.0

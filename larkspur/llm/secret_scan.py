@@ -16,6 +16,7 @@ from collections import Counter
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from larkspur.llm.common import map_texts
 
@@ -168,3 +169,28 @@ def secret_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     fields = [("n_assign", "bigint"), ("n_access", "bigint"), ("n_hex", "bigint"), ("base_sha256", "string"), ("spans", "string")]
     return map_texts(df, [id_col], text_col, kernel, fields)
+
+
+def redact_secrets(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """All rows and columns, with the secrets in the text column replaced by ``[secret]``.
+
+    A column of text lengths follows the new text. Null texts stay null; an empty table gives
+    an empty table.
+    """
+    others = [c for c in df.columns if c != text_col]
+
+    def kernel():
+        return lambda texts: {"redacted": [redact(t) for t in texts]}
+
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # names may clash with the result's
+    at = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    out = map_texts(numbered, [at[c] for c in others], at[text_col], kernel, [("redacted", "string")])
+    columns = []
+    for c in df.columns:
+        if c == text_col:
+            columns.append(F.col("redacted").alias(c))
+        elif c == chars_col:
+            columns.append(F.when(F.col("redacted").isNotNull(), F.length("redacted")).otherwise(F.col(at[c])).cast(df.schema[c].dataType).alias(c))
+        else:
+            columns.append(F.col(at[c]).alias(c))
+    return out.select(*columns)

@@ -274,7 +274,7 @@ class _Cached:
                 self.text[w] = b"".join([pieces[i] for i in ids])
 
 
-def _digest_kernel(path: str):
+def _digest_kernel(path: str, with_ids: bool = False):
     def start():
         cache = _Cached(path)
         strip = cache.model.dummy_prefix
@@ -282,13 +282,16 @@ def _digest_kernel(path: str):
         def apply(texts: list) -> dict:
             words = [cache.model.split(t or "") for t in texts]
             cache.learn(words)
-            n, ids, back = [], [], []
+            n, ids, back, lists = [], [], [], []
             for w in words:
                 n.append(sum(map(cache.count.__getitem__, w)))
-                ids.append(hashlib.sha256(",".join(map(cache.ids.__getitem__, w)).encode()).hexdigest())
+                line = ",".join(map(cache.ids.__getitem__, w))
+                ids.append(hashlib.sha256(line.encode()).hexdigest())
                 text = b"".join(map(cache.text.__getitem__, w))
                 back.append(hashlib.sha256(text[1:] if strip and text[:1] == b" " else text).hexdigest())
-            return {"n_tokens": n, "ids_sha256": ids, "decoded_sha256": back}
+                if with_ids:
+                    lists.append(np.fromstring(line, dtype=np.int32, sep=",") if line else np.zeros(0, dtype=np.int32))
+            return {"n_tokens": n, "ids_sha256": ids, "decoded_sha256": back, "ids": lists}
 
         return apply
 
@@ -320,11 +323,12 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     return map_texts(df, [id_col], text_col, _ids_kernel(path), [("ids", "array<int>"), ("decoded", "string")], 1 << 20)
 
 
-def encode_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): the digests of :func:`encode_decode`.
+def encode_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256[, ids]): the digests of :func:`encode_decode`.
 
     Words met before are not merged again within a worker. Edge cases as there: a null or
     empty text has 0 tokens and the digests of the empty string.
     """
     fields = [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
-    return map_texts(df, [id_col], text_col, _digest_kernel(path), fields)
+    fields += [("ids", "array<int>")] * with_ids
+    return map_texts(df, [id_col], text_col, _digest_kernel(path, with_ids), fields)

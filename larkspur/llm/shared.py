@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 500_000
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -22,3 +27,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there from now on."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet under a new name in the shared folder, reread, and its path."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def without(df: DataFrame, keys: DataFrame, on: list[str], limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of ``df`` whose key columns aren't in ``keys``; null matches null.
+
+    The keys are counted first: up to ``limit`` narrow rows are broadcast, so that the wide
+    rows don't shuffle; more are joined by shuffling.
+    """
+    keys = cut_lineage(keys.select(*[F.col(f"`{c}`").alias(f"_key{i}") for i, c in enumerate(on)]).distinct())
+    small = keys.count() <= limit
+    match = reduce(lambda a, b: a & b, [df[f"`{c}`"].eqNullSafe(keys[f"_key{i}"]) for i, c in enumerate(on)])
+    return df.join(F.broadcast(keys) if small else keys, match, "left_anti")

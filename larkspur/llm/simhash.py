@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import map_texts
-from larkspur.llm.shared import cut_lineage
+from larkspur.llm.shared import cut_lineage, without
 
 SEED = 42
 SHINGLE = 3
@@ -51,13 +51,13 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
-    """(id, fp long) of every whole text; null and empty texts have fingerprint zero."""
+def fingerprints(df: DataFrame, id_cols: list[str], text_col: str = "text", words: int = SHINGLE) -> DataFrame:
+    """(ids, fp long) of every whole text; null and empty texts have fingerprint zero."""
 
     def kernel():
         return lambda texts: {"fp": [fingerprint(t, words) for t in texts]}
 
-    return map_texts(df, [id_col], text_col, kernel, [("fp", "bigint")])
+    return map_texts(df, id_cols, text_col, kernel, [("fp", "bigint")])
 
 
 def _variants(fps: DataFrame) -> DataFrame:
@@ -152,7 +152,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of such rows only has a null id); repeated rows come back as often; an empty table gives
     an empty table; other columns are ignored.
     """
-    fps = cut_lineage(fingerprints(df, id_col, text_col))
+    fps = cut_lineage(fingerprints(df, [id_col], text_col))
     found = components(fps, id_col)
     out = fps.join(found, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
     return out
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of linked texts: the one with the smallest id, all columns as they were.
+
+    Rows are told apart by id and a hash of the text, so rows that share an id but not the text
+    are judged apart; of wholly repeated rows one stays. Null, empty and word-less texts
+    form one group. Null ids come before all others.
+    """
+    keyed = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"), F.col(f"`{text_col}`").alias("t"))
+    fps = fingerprints(keyed, ["id", "hash"], "t").select(F.struct("id", "hash").alias("key"), "fp")
+    fps = cut_lineage(fps)
+    found = components(fps, "key")
+    rest = fps.join(found, "fp").where(~F.col("key").eqNullSafe(F.col("component"))).select("key.*")
+    marked = df.withColumn("_hash", F.xxhash64(F.col(f"`{text_col}`")))
+    marked = without(marked.withColumn("_id", F.col(f"`{id_col}`")), rest.toDF("_id", "_hash"), ["_id", "_hash"])
+    if not fps.groupBy("key").count().where("count > 1").isEmpty():
+        marked = marked.dropDuplicates(["_id", "_hash"])
+    return marked.drop("_id", "_hash")
