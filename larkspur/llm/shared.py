@@ -53,3 +53,18 @@ def without(df: DataFrame, keys: DataFrame, on: list[str], limit: int = BROADCAS
     small = keys.count() <= limit
     match = reduce(lambda a, b: a & b, [df[f"`{c}`"].eqNullSafe(keys[f"_key{i}"]) for i, c in enumerate(on)])
     return df.join(F.broadcast(keys) if small else keys, match, "left_anti")
+
+
+def look_up(df: DataFrame, small: DataFrame, on: list[str], spread: str, limit: int = 100_000, salts: int = 16) -> DataFrame:
+    """``df`` left-joined with a narrow table that has one row a key; no key lands in one task.
+
+    The table is counted first. Up to ``limit`` rows are broadcast; beyond that both sides
+    are salted: the table is repeated for every salt, and ``df`` is dealt by a hash of the
+    column ``spread``. Null keys match nothing.
+    """
+    small = cut_lineage(small)
+    if small.count() <= limit:
+        return df.join(F.broadcast(small), on, "left")
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(f"`{spread}`")), F.lit(salts)).cast("int"))
+    return dealt.join(salted, [*on, "_salt"], "left").drop("_salt")
