@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontaminate, html_extract, language_id, license_scan, quality_rules, secret_scan, sentencepiece_codec, simhash, token_counts
+from larkspur.llm import decontaminate, html_extract, language_id, license_scan, quality_rules, secret_scan, sentencepiece_codec, simhash, token_counts, warc_zip
 from larkspur.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -61,7 +65,8 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_secret_scans": op6_secret_scans,
     "op7_language_id": op7_language_id,
+    "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_warc": warc_zip.ORACLE}
