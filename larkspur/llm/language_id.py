@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import map_texts
-from larkspur.llm.shared import cut_lineage
+from larkspur.llm.shared import cut_lineage, look_up
 
 SAMPLE_ROWS = 4000
 LEAST_LABELLED = 5
@@ -186,7 +186,7 @@ def identify(
     suffixes = prior("s", suffixes, [F.lit(p) for p in whole])
     hosts = hosts.join(suffixes, "suffix")
     hosts = prior("p", hosts, [F.col(f"s{i}") for i in range(len(languages))])
-    fused = scored.join(hosts, ["host", "suffix"], "left")
+    fused = look_up(scored, hosts, ["host", "suffix"], "i")
 
     rest = max(1, len(languages) - 1)
 
