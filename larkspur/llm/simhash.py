@@ -86,7 +86,9 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     Complete for connectivity: every link appears, except that within a group of at most four
     fingerprints that agree on 62 bits (all linked to one another) links go to the smallest.
     """
-    variants = _variants(fps)
+    # Dealt anew, since a few small partitions of numbers become 64 times as many rows.
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = _variants(fps.repartition(parts, "fp"))
     groups = variants.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor("fp").alias("all")
     )
