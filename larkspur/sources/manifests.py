@@ -48,7 +48,7 @@ def parse_for_augmentation(lines: DataFrame, limit: int | None = None, at: str =
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(at, value): the lines of one text file, numbered from 0 in file order."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
 
 
