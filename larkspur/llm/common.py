@@ -17,7 +17,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+BATCH_ROWS = 500
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches from their default of 10,000 rows, which is too many for whole texts.
+
+    A setting other than the default is the user's and stays.
+    """
+    if spark.conf.get(BATCH_CONF) == "10000":
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +69,7 @@ def map_texts(
     (``None`` for null) to ``{field: values}``. ``fields`` are (name, DDL type) pairs; the
     result has the key columns followed by them.
     """
+    bound_batches(df.sparkSession)
     slim = df.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], F.col(f"`{text}`").cast("string").alias("t"))
     out = T.StructType([T.StructField(k, slim.schema[i].dataType, True) for i, k in enumerate(keys)])
     for name, ddl in fields:

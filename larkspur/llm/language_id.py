@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import map_texts
+from larkspur.llm.common import bound_batches, map_texts
 from larkspur.llm.shared import cut_lineage, look_up
 
 SAMPLE_ROWS = 4000
@@ -78,6 +78,7 @@ def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows:
     """Fit the text model on at most ``sample_rows`` keys of labelled rows; counts are summed in Spark."""
     rows = df.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{label_col}`").cast("string").alias("l"), F.col(f"`{text_col}`").cast("string").alias("t"))
     rows = rows.where("i is not null and l is not null and t is not null")
+    bound_batches(df.sparkSession)
     ids = rows.select("i", F.xxhash64("i").alias("h")).orderBy("h", "i").limit(sample_rows).select("i").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,8 +28,9 @@ from larkspur.llm.common import map_texts
 
 SPACE = "▁"
 NONE = np.int64(1) << 40
-CACHE_WORDS = 400_000
-CACHE_CHARS = 8_000_000
+CACHE_WORDS = 150_000
+CACHE_CHARS = 4_000_000
+MERGE_WORDS = 20_000
 
 
 class PieceModel:
@@ -249,29 +250,24 @@ def load_model(path: str) -> PieceModel:
 
 
 class _Cached:
-    """Encodings of words met before; bounded, and dropped as a whole when full."""
+    """Encodings of words met before: (count, ids as text, bytes); bounded, and dropped as a whole when full."""
 
     def __init__(self, path: str):
         self.model = load_model(path)
-        self.count: dict[str, int] = {}
-        self.ids: dict[str, str] = {}
-        self.text: dict[str, bytes] = {}
+        self.known: dict[str, tuple[int, str, bytes]] = {}
         self.chars = 0
 
-    def learn(self, texts: list[list[str]]) -> None:
-        every = {w for words in texts for w in words}
-        new = list(every - self.count.keys())
-        if len(self.count) + len(new) > CACHE_WORDS or self.chars > CACHE_CHARS:
-            self.count.clear(), self.ids.clear(), self.text.clear()
-            self.chars, new = 0, list(every)
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > CACHE_WORDS or self.chars > CACHE_CHARS:
+            self.known.clear()
+            self.chars, new = 0, list(words)
         self.chars += sum(map(len, new))
         names, pieces = self.model.texts, self.model.decoded
-        for start in range(0, len(new), 50_000):
-            part = new[start : start + 50_000]
+        for start in range(0, len(new), MERGE_WORDS):
+            part = new[start : start + MERGE_WORDS]
             for w, ids in zip(part, self.model.encode_words(part)):
-                self.count[w] = len(ids)
-                self.ids[w] = ",".join([names[i] for i in ids])
-                self.text[w] = b"".join([pieces[i] for i in ids])
+                self.known[w] = len(ids), ",".join([names[i] for i in ids]), b"".join([pieces[i] for i in ids])
 
 
 def _digest_kernel(path: str, with_ids: bool = False):
@@ -281,13 +277,14 @@ def _digest_kernel(path: str, with_ids: bool = False):
 
         def apply(texts: list) -> dict:
             words = [cache.model.split(t or "") for t in texts]
-            cache.learn(words)
+            cache.learn({w for ws in words for w in ws})
+            known = cache.known
             n, ids, back, lists = [], [], [], []
             for w in words:
-                n.append(sum(map(cache.count.__getitem__, w)))
-                line = ",".join(map(cache.ids.__getitem__, w))
+                counts, lines, made = zip(*[known[x] for x in w]) if w else ((), (), ())
+                line, text = ",".join(lines), b"".join(made)
+                n.append(sum(counts))
                 ids.append(hashlib.sha256(line.encode()).hexdigest())
-                text = b"".join(map(cache.text.__getitem__, w))
                 back.append(hashlib.sha256(text[1:] if strip and text[:1] == b" " else text).hexdigest())
                 if with_ids:
                     lists.append(np.fromstring(line, dtype=np.int32, sep=",") if line else np.zeros(0, dtype=np.int32))
@@ -331,4 +328,4 @@ def encode_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """
     fields = [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
     fields += [("ids", "array<int>")] * with_ids
-    return map_texts(df, [id_col], text_col, _digest_kernel(path, with_ids), fields)
+    return map_texts(df, [id_col], text_col, _digest_kernel(path, with_ids), fields, 1 << 20)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import slices
+from larkspur.llm.common import bound_batches, slices
 from larkspur.llm.shared import checkpoint_folder, cut_lineage, look_up
 
 LEAST_SHARED = 100
@@ -265,6 +265,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", html_
     pyarrow can open). Of rows with equal payloads of 100 bytes or more, the ones with the
     smallest id are responses (all of them, where rows are repeated), the others revisit it.
     """
+    bound_batches(pages.sparkSession)
     rows = classify(pages, id_col, html_col, url_col)
     rows = rows.select(F.col("id").cast("string").alias("id"), "url", "payload", "digest", F.col("refers").cast("string").alias("refers"))
 
