@@ -287,3 +287,37 @@ def test_trim_leaves_known_spans_alone(spark):
     assert row.n_samples == 24_000 + 2 * 2400 and row.vad_speech_timestamps[0].start == 2400
     short = df.withColumn("vad_speech_timestamps", F.array(F.struct(F.lit(8000).alias("start"), F.lit(9000).alias("end"))))
     assert filters.trim_silence()(short).first().n_samples == 3 * RATE
+
+
+def test_data_source(spark, folder):
+    from larkspur.sources import datasource
+
+    datasource.register(spark)
+    rows = {os.path.basename(r.source_path): r for r in spark.read.format("clips").option("rate", 8000).load(f"{folder}/*.wav").collect()}
+    assert len(rows["a.wav"].audio) == 48_000 and rows["bad.wav"].error and rows["bad.wav"].audio is None
+
+
+def test_command_line(spark, folder, tmp_path, capsys):
+    from larkspur.cli import main
+
+    assert main(["doctor"]) == 0 and json.loads(capsys.readouterr().out)["workers"] >= 1
+    assert main(["inspect", folder]) == 0 and json.loads(capsys.readouterr().out)["files"] == 6
+    assert main(["curate", folder, str(tmp_path / "m"), "--vad-threshold", "0.1", "--snr-min", "5"]) == 0
+    assert json.loads(capsys.readouterr().out)["kept"] >= 2
+    assert main(["curate", f"{folder}/a.wav", str(tmp_path / "t"), "--tts", "--snr-min", "5", "--formats", "ljspeech"]) == 0
+    assert json.loads(capsys.readouterr().out)["kept"] == 1 and (tmp_path / "t/metadata.csv").exists()
+    with pytest.raises(SystemExit):
+        main(["nothing"])
+
+
+def test_windows_and_repeats_by_event_time(spark, tmp_path):
+    rows = [("a", "2026-01-01 00:01:00", 1.0, None), ("a", "2026-01-01 00:02:00", 1.0, None), ("b", "2026-01-01 00:12:00", 2.0, "snr")]
+    df = spark.createDataFrame(rows, "doc_id string, at string, duration_seconds double, reject_stage string").withColumn("at", F.col("at").cast("timestamp"))
+    df.write.parquet(str(tmp_path / "in"))
+    schema = df.schema
+    for name, make in (("w", lambda s: streaming.windowed_report(s.withColumn("error_stage", F.lit(None).cast("string")), "at")), ("d", lambda s: streaming.first_of_id(s, "at"))):
+        mode = "complete" if name == "w" else "append"
+        q = make(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName(f"q_{name}").outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+    assert sorted((r.clips, r.kept) for r in spark.table("q_w").collect()) == [(1, 0), (2, 2)]
+    assert sorted(r.doc_id for r in spark.table("q_d").collect()) == ["a", "b"]
