@@ -16,7 +16,10 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from functools import reduce
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,13 +62,19 @@ GOOD = frozenset("article content main post entry story body text page blog pros
 
 
 class Node:
-    __slots__ = ("tag", "path", "out", "good", "parent", "own", "links", "total", "linked", "order")
+    """A block element. ``step`` is its part of the path; ``key`` hashes all steps from the root, so that deep pages hold no long paths."""
 
-    def __init__(self, tag: str, path: str, out: bool, good: bool, parent: int, order: int):
-        self.tag, self.path, self.out, self.good, self.parent, self.order = tag, path, out, good, parent, order
+    __slots__ = ("tag", "step", "key", "out", "good", "inside", "parent", "total", "linked")
+
+    def __init__(self, tag: str, step: str, key: int, out: bool, good: bool, inside: bool, parent: int):
+        self.tag, self.step, self.key, self.out, self.good, self.inside, self.parent = tag, step, key, out, good, inside, parent
         self.total = self.linked = 0
 
 
+def _key(above: int, step: str) -> int:
+    return xxhash.xxh64_intdigest(step.encode("utf-8", "surrogatepass"), above)
+
+
 def _attributes(raw: str) -> tuple[set[str], str, str]:
     """(words of class and id, role, generalised class names)."""
     words: set[str] = set()
@@ -85,20 +94,21 @@ class Page:
     """Nodes of block elements in page order, and blocks of text with their node."""
 
     def __init__(self, text: str | None):
-        self.nodes: list[Node] = [Node("", "", False, False, -1, 0)]
+        self.nodes: list[Node] = [Node("", "", 0, False, False, False, -1)]
         self.blocks: list[tuple[int, str]] = []
         self._stack = [0]
+        self._open_tags: Counter[str] = Counter()
         self._parts: list[str] = []
         self._anchor = 0
         self._linked = 0
         self._parse(text or "")
         self._flush()
         for at, (node, block) in enumerate(self.blocks):
-            size, linked = len(block), self._links[at]
-            while node >= 0:
-                self.nodes[node].total += size
-                self.nodes[node].linked += linked
-                node = self.nodes[node].parent
+            self.nodes[node].total += len(block)
+            self.nodes[node].linked += self._links[at]
+        for n in reversed(self.nodes[1:]):  # a parent comes before its children
+            self.nodes[n.parent].total += n.total
+            self.nodes[n.parent].linked += n.linked
 
     def _flush(self) -> None:
         if self._parts:
@@ -155,21 +165,25 @@ class Page:
         if tag in CLOSES:
             self._pop(*CLOSES[tag])
         if tag[0] == "h" and tag[1:].isdigit() and self.nodes[self._stack[-1]].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            self._stack.pop()
+            self._cut(len(self._stack) - 1)
         self._anchor = 0 if tag != "li" else self._anchor
         above = self.nodes[self._stack[-1]]
         words, role, shown = _attributes(raw) if raw else (set(), "", "")
-        inside = self._inside_article()
         good = tag in ("article", "main") or bool(words & GOOD) or role in ("main", "article")
         out = above.out or tag in ASIDE or role in ROLES or bool(words & NEVER) or bool(HIDDEN.search(raw)) if raw else above.out or tag in ASIDE
-        out = out or (bool(words & RARELY) and not words & GOOD and tag not in ("body", "html", "main", "article")) or (tag == "header" and not inside)
+        out = out or (bool(words & RARELY) and not words & GOOD and tag not in ("body", "html", "main", "article")) or (tag == "header" and not above.inside)
         if tag in ("html", "body"):
             out = False
-        self.nodes.append(Node(tag, f"{above.path}>{tag}{shown}", out, good, self._stack[-1], len(self.nodes)))
+        step = tag + shown
+        self.nodes.append(Node(tag, step, _key(above.key, step), out, good, above.inside or tag in ("article", "main"), self._stack[-1]))
         self._stack.append(len(self.nodes) - 1)
+        self._open_tags[tag] += 1
 
-    def _inside_article(self) -> bool:
-        return any(self.nodes[i].tag in ("article", "main") for i in self._stack)
+    def _cut(self, at: int) -> None:
+        """Close the open elements from a place of the stack on."""
+        for i in self._stack[at:]:
+            self._open_tags[self.nodes[i].tag] -= 1
+        del self._stack[at:]
 
     def _pop(self, tags: set[str], until: frozenset[str] | set[str]) -> None:
         """Close the innermost open elements down to the outermost of ``tags`` within the scope."""
@@ -181,17 +195,15 @@ class Page:
             elif tag in until:
                 break
         if cut is not None:
-            del self._stack[cut:]
+            self._cut(cut)
 
     def _close(self, tag: str) -> None:
         if tag == "a":
             self._anchor = 0
         if tag == "p" or tag in BLOCKS:
             self._flush()
-            for k in range(len(self._stack) - 1, 0, -1):
-                if self.nodes[self._stack[k]].tag == tag:
-                    del self._stack[k:]
-                    break
+            if self._open_tags[tag]:
+                self._cut(next(k for k in range(len(self._stack) - 1, 0, -1) if self.nodes[self._stack[k]].tag == tag))
 
     def score(self, node: Node) -> float:
         """Text that isn't linked, with credit for tags and classes that name content."""
@@ -229,9 +241,18 @@ class Page:
                 inside.add(i)
         return "\n".join(block for node, block in self.blocks if node in inside)
 
+    def path(self, node: int) -> str:
+        """The generalised path of a node, from the root."""
+        steps = []
+        while node > 0:
+            steps.append(self.nodes[node].step)
+            node = self.nodes[node].parent
+        return "".join(f">{step}" for step in reversed(steps))
+
     def at_path(self, path: str) -> int | None:
         """The container at a generalised path with the highest score, if one has text."""
-        found = [i for i, n in enumerate(self.nodes) if n.path == path and not n.out and n.total]
+        key = reduce(_key, path.split(">")[1:], 0)
+        found = [i for i, n in enumerate(self.nodes) if n.key == key and not n.out and n.total]
         return max(found, key=lambda i: (self.score(self.nodes[i]), -i), default=None)
 
 
@@ -241,7 +262,7 @@ def vote(text: str | None) -> tuple[str | None, float]:
     best = page.best()
     if not page.nodes[best].total:
         return None, 0.0
-    return page.nodes[best].path, page.score(page.nodes[best])
+    return page.path(best), page.score(page.nodes[best])
 
 
 def extract_page(text: str | None, paths: list[str] | None) -> str:

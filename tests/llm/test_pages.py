@@ -42,6 +42,13 @@ def test_long_broken_page_is_fast():
     assert H.extract_page("<a <b \"" * 50_000 + "<div>" * 2_000 + "<p>x", None).endswith("x")
 
 
+def test_deep_page_needs_no_long_paths():
+    page = H.Page("<div class=a1>x" * 50_000 + "</section>" * 50_000 + "<article>end")
+    assert sum(len(n.step) for n in page.nodes) < 400_000 and page.nodes[1].total == 50_003
+    path = page.path(3)
+    assert path == ">div.a#" * 3 and page.at_path(path) == 3
+
+
 def test_query_equals_the_marked_article(spark, sf_dir):
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     rows = QUERIES["op3_html_extraction"](spark, sf_dir).collect()
