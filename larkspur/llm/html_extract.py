@@ -86,7 +86,8 @@ def _attributes(raw: str) -> tuple[set[str], str, str]:
             continue
         words |= {w.lower() for w in WORDS.findall(value)}
         if name.lower() == "class":
-            shown = "." + ".".join(sorted(set(re.sub(r"\d+", "#", value.lower()).split())))
+            names = re.sub(r"\d+", "#", re.sub(r"[\x00-\x20>]", " ", value.lower())).split()
+            shown = "." + ".".join(sorted(set(names)))
     return words, role, shown
 
 

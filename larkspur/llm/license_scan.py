@@ -156,12 +156,15 @@ class Scanner:
         row = {"n_words": len(words), "n_base": 0, "first_word": None, "last_word": None}
         base, labels, scores = set(), set(), []
         flat = " " + b" ".join(words).decode("utf-8", "surrogatepass") + " "
+        place = at = 0  # the word number ``at`` of the place that was looked at last
         for end, (length, hits) in self.phrases.iter(flat):
+            start = end - length + 1
+            at += flat.count(" ", place, start) if start >= place else -flat.count(" ", start, place)
+            place = start
             for is_base, label in hits:
                 labels.add(label)
                 scores.append(score_of(label))
                 if is_base:
-                    at = flat.count(" ", 0, end - length + 1)
                     base.add(label)
                     row["n_base"] += 1
                     row["first_word"] = at if row["first_word"] is None else min(at, row["first_word"])

@@ -14,6 +14,7 @@ import math
 import re
 from collections import Counter
 from functools import lru_cache
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,8 @@ KINDS = ("assign", "access", "hex", "novel")
 
 SENSITIVE = ("password", "passwd", "secret", "token", "apikey", "api_key", "api-key", "credential", "bearer", "private", "authorization", "access_key", "client_key", "signature")
 SENSITIVE_AT = re.compile("|".join(map(re.escape, SENSITIVE)))
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=\-]{{{LEAST},}}")
 CONTEXT = 256
 REACH = 48
 SHARE = 0.62
@@ -95,12 +97,16 @@ def novel_spans(text: str, lower: str, base: list[tuple[int, int, int]]) -> list
             return []
         lower = "".join(c.lower() if c < "\x80" else c for c in text)
     out: list[tuple[int, int, int]] = []
-    done = 0
+    done = past = 0  # no base span before ``past`` reaches the candidate; candidates ascend
+    until = list(accumulate((e for _, e, _ in base), max))
     for word in SENSITIVE_AT.finditer(lower):
         at = max(done, word.end())
-        while (m := CANDIDATE.search(text, at)) and m.start() <= word.end() + REACH:
+        while at <= word.end() + REACH and (m := CANDIDATE.search(text, at, word.end() + REACH + LEAST)):
+            m = CANDIDATE.match(text, m.start())  # the whole of it, which may reach further
             at = done = m.end()
-            if any(s < m.end() and m.start() < e for s, e, _ in base):
+            while past < len(base) and until[past] <= m.start():
+                past += 1
+            if past < len(base) and base[past][0] < m.end():
                 continue
             if novelty().novel(text[max(0, m.start() - CONTEXT) : m.start()], m.group(), text[m.end() : m.end() + CONTEXT]):
                 out.append((m.start(), m.end(), 3))
