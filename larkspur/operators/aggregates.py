@@ -2,39 +2,72 @@
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import signal as S
+from larkspur.runtime import cut_lineage
 
 
 def qc_report(clips: DataFrame, flags: tuple[Column, Column] | None = None) -> DataFrame:
-    """One row: clips, clipped, silence_only, duration_min/max/mean, snr_db (sorted by doc_id).
+    """One row: clips, clipped, silence_only, duration_min/max/mean.
 
     ``flags`` replaces the columns ``clipped`` and ``silent``. No clips: counts 0, durations null.
-    The list of ratios is the report's own content; drop that column where it is not wanted.
+    The report's list of noise ratios grows with the corpus; ``manifests.write_report`` streams it
+    into the report file, so that no task holds it.
     """
     clipped, silent = flags or (F.col("clipped"), F.col("silent"))
-    listed = F.array_sort(F.collect_list(F.when(F.col("snr_db").isNotNull(), F.struct("doc_id", "snr_db"))))
     return clips.agg(
         F.count(F.lit(1)).alias("clips"), F.count_if(clipped).alias("clipped"), F.count_if(silent).alias("silence_only"),
         F.min("duration_seconds").alias("duration_min"), F.max("duration_seconds").alias("duration_max"),
-        F.avg("duration_seconds").alias("duration_mean"), F.transform(listed, lambda x: x["snr_db"]).alias("snr_db"),
+        F.avg("duration_seconds").alias("duration_mean"),
     )
 
 
 def inspect_stats(clips: DataFrame, limit: int | None = None) -> DataFrame:
-    """One row: files, total seconds and hours, mean, median, least and largest duration."""
+    """One row: files, total seconds and hours, mean, exact median, least and largest duration."""
     known = clips.where("duration_seconds is not null")
     known = known.orderBy("source_path").limit(limit) if limit else known
     d = F.col("duration_seconds")
     return known.agg(
         F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(d), F.lit(0.0)).alias("total_seconds"),
         (F.coalesce(F.sum(d), F.lit(0.0)) / 3600).alias("total_hours"), F.avg(d).alias("mean_seconds"),
-        F.percentile(d, 0.5).alias("median_seconds"), F.min(d).alias("min_seconds"), F.max(d).alias("max_seconds"),
+        F.lit(quantile(known, "duration_seconds", 0.5)).cast("double").alias("median_seconds"), F.min(d).alias("min_seconds"), F.max(d).alias("max_seconds"),
     )
 
 
+def quantile(df: DataFrame, column: str, q: float) -> float | None:
+    """The exact, linearly interpolated quantile of a column, null values aside; None without values.
+
+    Equal values are counted first and the counts range-partitioned by value; the driver sees
+    one sum a partition, and only the partition that holds the place is looked into. (The
+    built-in percentile gathers all distinct values in one task.)
+    """
+    by = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    by = cut_lineage(by.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    sums = sorted((r.part, r.n) for r in by.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    total = sum(n for _, n in sums)
+    if not total:
+        return None
+    place = q * (total - 1)
+
+    def at(rank: int) -> float:
+        before = 0
+        for part, n in sums:
+            if rank < before + n:
+                break
+            before += n
+        upto = F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+        return by.where(F.col("part") == part).withColumn("upto", upto).where(F.col("upto") > rank - before).agg(F.min("v").alias("v")).first().v
+
+    low = at(math.floor(place))
+    high = low if place == math.floor(place) else at(math.ceil(place))
+    return low + (place - math.floor(place)) * (high - low)
+
+
 def count_formats(clips: DataFrame) -> DataFrame:
     """(format, n) by lower-case extension, sorted."""
     ext = F.lower(F.regexp_extract("source_path", r"\.([^./]+)$", 1))
@@ -73,16 +106,12 @@ def numbered(df: DataFrame, order: list[str], name: str = "_row") -> DataFrame:
     the earlier ones (one number a partition reaches the driver).
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    from larkspur.runtime import cut_lineage
-
     ranged = cut_lineage(ranged.withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    counts = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offset, pairs = 0, []
-    for part in sorted(counts):
-        pairs += [F.lit(part), F.lit(offset).cast("bigint")]
-        offset += counts[part]
-    place = F.element_at(F.create_map(*pairs), F.col("_part")) if pairs else F.lit(0)
-    return ranged.withColumn(name, F.col("_at") + place).drop("_part", "_at")
+    counts = sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets = list(zip([part for part, _ in counts], accumulate([0, *(n for _, n in counts)])))
+    first = df.sparkSession.createDataFrame(offsets, "_of int, _first bigint")  # a row a partition
+    placed = ranged.join(F.broadcast(first), F.col("_part") == F.col("_of"))
+    return placed.withColumn(name, F.col("_at") + F.col("_first")).drop("_part", "_at", "_of", "_first")
 
 
 def collate(clips: DataFrame, size: int, order: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ neighbours of kept clips, with a checkpoint each.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -35,8 +36,23 @@ def block_masks(threshold: int, agree: int = 2, bits: int = 64) -> list[int]:
     return [signed(sum(c)) for c in combinations(blocks, agree)]
 
 
-def near_pairs(fps: DataFrame, threshold: int = 8, agree: int = 2) -> DataFrame:
-    """(a, b) with a < b: distinct values ``fp`` within ``threshold`` bits, complete."""
+def best_agreement(n: int, threshold: int, bits: int = 64, most_keys: int = 2000) -> int:
+    """How many blocks a mask should take for ``n`` words: the fewest keys and candidate pairs together."""
+
+    def cost(agree: int) -> float:
+        return math.comb(threshold + agree, agree) * (1 + n / 2 ** (bits * agree / (threshold + agree)))
+
+    fits = [a for a in range(1, bits - threshold + 1) if math.comb(threshold + a, a) <= most_keys]
+    return min(fits or [1], key=cost)
+
+
+def near_pairs(fps: DataFrame, threshold: int = 8, agree: int | None = None) -> DataFrame:
+    """(a, b) with a < b: distinct values ``fp`` within ``threshold`` bits, complete.
+
+    Without ``agree`` the words are counted and the blocking follows their number, so that
+    the candidates of a key stay few as the table grows.
+    """
+    agree = agree or best_agreement(fps.count(), threshold)
     masks = F.array(*[F.lit(m).cast("bigint") for m in block_masks(threshold, agree)])
     keyed = fps.select("fp", F.posexplode(masks).alias("slot", "mask")).select("fp", "slot", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     left, right = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
@@ -44,7 +60,7 @@ def near_pairs(fps: DataFrame, threshold: int = 8, agree: int = 2) -> DataFrame:
     return left.join(right, ["slot", "key"]).where(close).select("a", "b").distinct()
 
 
-def greedy_duplicates(clips: DataFrame, threshold: int = 8, order: tuple[str, ...] = ("source_path", "doc_id"), agree: int = 2) -> DataFrame:
+def greedy_duplicates(clips: DataFrame, threshold: int = 8, order: tuple[str, ...] = ("source_path", "doc_id"), agree: int | None = None) -> DataFrame:
     """(doc_id, duplicate_of): for every clip (doc_id, fingerprint, order columns) the kept clip it repeats, or null.
 
     Clips without a fingerprint are kept. Ties in the order go by doc_id.
@@ -77,7 +93,7 @@ def greedy_duplicates(clips: DataFrame, threshold: int = 8, order: tuple[str, ..
     return out.select("doc_id", F.when(F.col("of._id") != F.col("doc_id"), F.col("of._id")).alias("duplicate_of"))
 
 
-def deduplicate(df: DataFrame, threshold: int = 8, order: tuple[str, ...] = ("source_path", "doc_id"), agree: int = 2) -> DataFrame:
+def deduplicate(df: DataFrame, threshold: int = 8, order: tuple[str, ...] = ("source_path", "doc_id"), agree: int | None = None) -> DataFrame:
     """Reject near-duplicates among active clips; kept ones get ``audio_fingerprint``.
 
     The order is global, so the result doesn't depend on partitions.

@@ -86,9 +86,8 @@ def curate_tts(spark: SparkSession, source: str | Sequence[str] | DataFrame, out
     store = Checkpoint(spark, checkpoint) if checkpoint else None
     frame = source if isinstance(source, DataFrame) else read_clips(spark, source, done=store.done() if store else None)
     result = run(frame, tts_stages(**options), store, lambda kept: manifests.export_tts(kept, output, formats, speaker))
-    qc = qc_report(result.kept.drop("audio"))
-    text = manifests.report_json(qc)
-    manifests.single_file(spark.createDataFrame([(text,)], "value string"), f"{output}/qc_report.json")
+    slim = result.kept.drop("audio")
+    manifests.write_report(qc_report(slim), slim, f"{output}/qc_report.json")
     made = result.stats["sink"]
     out = {
         "kept": made["kept"], "filtered": result.stats["skipped"], "total_duration_seconds": made["total_duration_seconds"],

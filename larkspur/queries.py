@@ -333,7 +333,7 @@ def decoded_lookup(spark, sf_dir):
 @query(f"""WITH {CLIPS_U}, q AS (SELECT k, len(a) / 8.0 AS s, list_max(list_transform(a, lambda v: abs(CAST(v AS DOUBLE)))) AS p, len(list_filter(a, lambda v: abs(CAST(v AS DOUBLE)) > 1e-4)) < 0.01 * len(a) AS z FROM u)
 SELECT count(*) AS clips, count(*) FILTER (WHERE p >= 0.999) AS clipped, count(*) FILTER (WHERE z) AS silence_only, min(s) AS duration_min, max(s) AS duration_max, round(avg(s), 6) AS duration_mean FROM q""")
 def qc_report(spark, sf_dir):
-    report = A.qc_report(user_clips(spark, sf_dir), A.quality_flags(F.col("audio"))).drop("snr_db")
+    report = A.qc_report(user_clips(spark, sf_dir), A.quality_flags(F.col("audio")))
     return report.withColumn("duration_mean", F.round("duration_mean", 6))
 
 

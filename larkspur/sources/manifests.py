@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import kernels as K
+from larkspur.operators.aggregates import numbered
 from larkspur.operators.stage import active
 from larkspur.providers import get_provider
 from larkspur.runtime import ensure_workers_see_package
@@ -47,9 +48,10 @@ def parse_for_augmentation(lines: DataFrame, limit: int | None = None, at: str =
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(at, value): the lines of one text file, numbered from 0 in file order."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
+    """(at, value): the lines of text files, numbered from 0 in file order; files are read in splits."""
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line")]
+    lines = spark.read.text(path).select("value", *place)
+    return numbered(lines, ["_file", "_block", "_line"], "at").select("at", "value")
 
 
 # Writing
@@ -106,21 +108,24 @@ def append_jsonl(clips: DataFrame, path: str, version: str) -> None:
 def single_file(rows: DataFrame, path: str) -> None:
     """Write (value) rows as one text file, in the rows' order; an empty result still makes the file.
 
-    Trainers want one file, so one task writes it, streaming sorted rows; only short manifest
-    lines pass through it, never audio.
+    Tasks write sorted parts; as trainers want one file, the parts' bytes are then streamed
+    one after another into it. No task sorts or holds all rows.
     """
     spark = rows.sparkSession
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     part = f"{path}.{uuid.uuid4().hex}"
-    rows.coalesce(1).write.text(part)
-    at, to = jvm.org.apache.hadoop.fs.Path(part), jvm.org.apache.hadoop.fs.Path(path)
+    rows.write.text(part)
+    at, to, whole = (jvm.org.apache.hadoop.fs.Path(p) for p in (part, path, f"{part}/_whole"))
     fs = at.getFileSystem(conf)
-    files = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("part-")]
+    files = sorted((s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    out = fs.create(whole)
+    for file in files:
+        held = fs.open(file)
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(held, out, 1 << 20, False)
+        held.close()
+    out.close()
     fs.delete(to, False)
-    if files:
-        fs.rename(files[0], to)
-    else:
-        fs.create(to).close()
+    fs.rename(whole, to)
     fs.delete(at, True)
 
 
@@ -196,8 +201,16 @@ def synthesize(rows: DataFrame, folder: str, voice: str = "default", provider: s
     return cut_lineage(write_wavs(made, folder))
 
 
-def report_json(report: DataFrame) -> str:
-    """A quality report row as the JSON of the report file."""
+def write_report(report: DataFrame, clips: DataFrame, path: str) -> None:
+    """A quality report row and the clips' noise ratios (doc_id, snr_db), by doc_id, as one JSON file.
+
+    The list has a line for each clip and goes through ``single_file`` like a manifest.
+    """
     r = report.first().asDict()
-    shape = {"clips": r["clips"], "clipped": r["clipped"], "silence_only": r["silence_only"], "duration_seconds": {k: r[f"duration_{k}"] for k in ("min", "max", "mean")}, "snr_db": r["snr_db"]}
-    return json.dumps(shape, indent=2)
+    head = {"clips": r["clips"], "clipped": r["clipped"], "silence_only": r["silence_only"], "duration_seconds": {k: r[f"duration_{k}"] for k in ("min", "max", "mean")}}
+    ratios = numbered(clips.where("snr_db is not null").select("doc_id", "snr_db"), ["doc_id", "snr_db"])
+    comma = F.when(F.col("_row") > 0, F.lit(",")).otherwise(F.lit(""))
+    lines = ratios.select(F.lit(1).alias("_part"), "_row", F.concat(comma, F.col("snr_db").cast("string")).alias("value"))
+    ends = [(0, 0, json.dumps(head)[:-1] + ', "snr_db": ['), (2, 0, "]}")]
+    lines = lines.unionByName(report.sparkSession.createDataFrame(ends, "_part int, _row bigint, value string"))
+    single_file(lines.orderBy("_part", "_row").select("value"), path)

@@ -136,6 +136,33 @@ def test_greedy_dedup_equals_the_sequential_rule(spark):
     assert got == want
 
 
+def test_blocking_follows_the_number_of_words():
+    assert [dedup.best_agreement(n, 8) for n in (100, 100_000, 10**9)] == [1, 3, 5] and dedup.best_agreement(2000, 20) == 1
+
+
+def test_quantile_is_exact_over_partitions(spark):
+    r = np.random.default_rng(9)
+    x = np.round(r.gamma(2, 3, 5001), 2)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double").repartition(7)
+    for q in (0.0, 0.25, 0.5, 0.9, 1.0):
+        assert abs(A.quantile(df, "v", q) - np.quantile(x, q)) < 1e-9
+    assert A.quantile(df.where("v is null"), "v", 0.5) is None and A.quantile(df.where("v < 0"), "v", 0.5) is None
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    (tmp_path / "long.txt").write_text("".join(f"line {i}\n" for i in range(5000)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = manifests.read_lines(spark, str(tmp_path / "long.txt"))
+        assert spark.read.text(str(tmp_path / "long.txt")).rdd.getNumPartitions() > 5
+        assert sorted(map(tuple, rows.collect())) == [(i, f"line {i}") for i in range(5000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    manifests.single_file(rows.orderBy("at").select("value"), str(tmp_path / "back.txt"))
+    assert (tmp_path / "back.txt").read_text() == (tmp_path / "long.txt").read_text()
+
+
 def test_block_masks_are_complete():
     r = np.random.default_rng(2)
     masks = [m & (2**64 - 1) for m in dedup.block_masks(8, 3)]
