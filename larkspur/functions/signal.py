@@ -9,6 +9,8 @@ Every function treats a null array as null and an empty one as defined in its do
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,15 @@ def no_spans() -> Column:
     return F.array().cast(SPAN)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.
+
+    The optimiser copies an expression to every place that refers to it, also into lambdas,
+    which would compute it anew for each element; a lambda's own variable stays a variable.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def cut(array: Column, start: Column, end: Column) -> Column:
     """array[start:end], 0-based and clamped on both sides."""
     n = F.size(array)
@@ -41,9 +52,13 @@ def _upto(n: Column) -> Column:
 
 def frame_energies(audio: Column, frame: int = 512, partial: bool = True) -> Column:
     """Mean square of each frame; the shorter last frame counts if ``partial``. No frame: empty."""
-    n = F.size(audio)
-    whole = F.ceil(n / frame) if partial else F.floor(n / frame)
-    return F.transform(_upto(whole.cast("int")), lambda i: energy(F.slice(audio, i * frame + 1, frame)) / F.least(F.lit(frame), n - i * frame))
+
+    def of(x: Column) -> Column:
+        n = F.size(x)
+        whole = F.ceil(n / frame) if partial else F.floor(n / frame)
+        return F.transform(_upto(whole.cast("int")), lambda i: energy(F.slice(x, i * frame + 1, frame)) / F.least(F.lit(frame), n - i * frame))
+
+    return let(audio, of)
 
 
 def mean(values: Column) -> Column:
@@ -53,13 +68,25 @@ def mean(values: Column) -> Column:
 
 def deviation(values: Column, center: Column) -> Column:
     """Population standard deviation about a known mean, null for an empty array."""
-    return F.sqrt(F.try_divide(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + (x - center) * (x - center)), F.size(values)))
+    squares = let(center, lambda c: F.aggregate(values, F.lit(0.0), lambda acc, x: acc + (x - c) * (x - c)))
+    return F.sqrt(F.try_divide(squares, F.size(values)))
 
 
 def hit_frames(energies: Column, center: Column, spread: Column) -> Column:
     """Frames louder than mean plus deviation; none if all is quiet or under a tenth are louder."""
-    hits = F.filter(_upto(F.size(energies)), lambda i: F.get(energies, i) > center + spread)
-    return F.when((center >= SILENT) & (F.size(hits) >= LEAST_SHARE * F.size(energies)), hits).otherwise(F.array().cast("array<int>"))
+    none = F.array().cast("array<int>")
+    louder = let(center + spread, lambda least: F.filter(_upto(F.size(energies)), lambda i: F.get(energies, i) > least))
+    return F.when(center >= SILENT, let(louder, lambda hits: F.when(F.size(hits) >= LEAST_SHARE * F.size(energies), hits).otherwise(none))).otherwise(none)
+
+
+def energy_spans(audio: Column, frame: int = 512) -> Column:
+    """Speech spans of a clip by frame energies, one for each loud frame; empty for null audio."""
+
+    def spans(x: Column) -> Column:
+        found = lambda e: let(mean(e), lambda m: let(deviation(e, m), lambda d: hit_frames(e, m, d)))
+        return frame_spans(let(frame_energies(x, frame), found), F.size(x), frame)
+
+    return F.coalesce(let(audio, spans), no_spans())
 
 
 def frame_spans(hits: Column, n: Column, frame: int = 512) -> Column:
@@ -98,7 +125,7 @@ def spans_energy(audio: Column, spans: Column) -> Column:
 
 def decibels(signal: Column, noise: Column) -> Column:
     """10 log10(signal / (noise + 1e-10)); minus infinity for no signal, null for unknown powers."""
-    return F.when(signal == 0, F.lit(float("-inf"))).otherwise(10 * F.log10(signal / (noise + 1e-10)))
+    return let(signal, lambda s: F.when(s == 0, F.lit(float("-inf"))).otherwise(10 * F.log10(s / (noise + 1e-10))))
 
 
 def speech_ratio(spans: Column, n: Column) -> Column:
@@ -108,16 +135,35 @@ def speech_ratio(spans: Column, n: Column) -> Column:
 
 def quartile_snr(energies: Column, threshold: Column) -> Column:
     """Ratio of mean energies of frames at or above a threshold and below it; null if either side is empty."""
-    loud, quiet = F.filter(energies, lambda e: e >= threshold), F.filter(energies, lambda e: e < threshold)
-    return F.when((F.size(loud) > 0) & (F.size(quiet) > 0), decibels(mean(loud), mean(quiet)))
+
+    def ratio(e: Column, t: Column) -> Column:
+        loud, quiet = F.filter(e, lambda x: x >= t), F.filter(e, lambda x: x < t)
+        return let(loud, lambda a: let(quiet, lambda b: F.when((F.size(a) > 0) & (F.size(b) > 0), decibels(mean(a), mean(b)))))
+
+    return let(energies, lambda e: let(threshold, lambda t: ratio(e, t)))
+
+
+def span_snr(audio: Column, merged: Column, rate: Column) -> Column:
+    """Decibels of merged spans against the rest of a clip; the cap for too little or silent rest."""
+
+    def ratio(x: Column, spans: Column) -> Column:
+        n, inside = F.size(x), spans_length(spans)
+        noise = F.try_divide(spans_energy(x, gaps(spans, n)), n - inside)
+        speech = F.coalesce(F.try_divide(spans_energy(x, spans), inside), F.lit(0.0))
+        return F.when(n - inside < 0.1 * rate, F.lit(CAP_DB)).otherwise(let(noise, lambda p: F.when(p == 0, F.lit(CAP_DB)).otherwise(decibels(speech, p))))
+
+    return let(audio, lambda x: let(merged, lambda spans: ratio(x, spans)))
 
 
 def quantile(values: Column, q: float) -> Column:
     """Linearly interpolated quantile of an array, null for an empty one."""
-    ordered = F.array_sort(values)
-    at = (F.size(values) - 1) * F.lit(q)
-    low = F.floor(at).cast("int")
-    return F.get(ordered, low) + (at - low) * (F.coalesce(F.get(ordered, low + 1), F.get(ordered, low)) - F.get(ordered, low))
+
+    def place(ordered: Column) -> Column:
+        at = (F.size(ordered) - 1) * F.lit(q)
+        low = F.floor(at).cast("int")
+        return F.get(ordered, low) + (at - low) * (F.coalesce(F.get(ordered, low + 1), F.get(ordered, low)) - F.get(ordered, low))
+
+    return let(F.array_sort(values), place)
 
 
 def downmix(interleaved: Column, channels: int) -> Column:
@@ -130,16 +176,16 @@ def resample_linear(audio: Column, source_rate: int, target_rate: int) -> Column
     """Linear interpolation at len * target / source evenly spaced places; ends are held."""
     if source_rate == target_rate:
         return audio
-    n = F.size(audio)
-    count = F.floor(n * F.lit(target_rate) / source_rate).cast("int")
 
-    def at(i: Column) -> Column:
-        place = i * n.cast("double") / count
-        low = F.floor(place).cast("int")
-        left, right = F.get(audio, low).cast("double"), F.coalesce(F.get(audio, low + 1), F.get(audio, low)).cast("double")
-        return left + (place - low) * (right - left)
+    def of(x: Column, count: Column) -> Column:
+        def at(place: Column) -> Column:
+            low = F.floor(place).cast("int")
+            left, right = F.get(x, low).cast("double"), F.coalesce(F.get(x, low + 1), F.get(x, low)).cast("double")
+            return left + (place - low) * (right - left)
+
+        return F.transform(F.transform(_upto(count), lambda i: i * F.size(x).cast("double") / count), at)
 
-    return F.transform(_upto(count), at)
+    return let(audio, lambda x: let(F.floor(F.size(x) * F.lit(target_rate) / source_rate).cast("int"), lambda count: of(x, count)))
 
 
 def pcm16(audio: Column) -> Column:
@@ -164,8 +210,9 @@ def is_silent(audio: Column) -> Column:
 
 def band_fingerprint(bands: Column) -> Column:
     """64 bands as a bigint: bit i is set if band i exceeds the mean of all bands."""
-    center = mean(F.transform(bands, lambda x: x.cast("double")))
-    bits = F.transform(_upto(F.size(bands)), lambda i: F.when(F.get(bands, i).cast("double") > center, F.expr("1L")).otherwise(F.expr("0L")))
+    center = lambda b: mean(F.transform(b, lambda x: x.cast("double")))
+    above = lambda b, c: F.transform(b, lambda x: F.when(x.cast("double") > c, F.expr("1L")).otherwise(F.expr("0L")))
+    bits = let(bands, lambda b: let(center(b), lambda c: above(b, c)))
     places = F.transform(bits, lambda b, i: F.call_function("shiftleft", b, i))
     return F.aggregate(places, F.expr("0L"), lambda acc, b: acc.bitwiseOR(b))
 

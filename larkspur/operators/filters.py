@@ -11,15 +11,10 @@ from larkspur.operators.stage import Stage, active, annotate, reject
 
 def with_vad(df: DataFrame, frame: int = 512, merged: bool = False) -> DataFrame:
     """Energy speech detection on active rows: spans, unrounded ``_ratio``, backend."""
-    df = df.withColumn("_e", F.when(active(), S.frame_energies(F.col("audio"), frame)))
-    df = df.withColumn("_m", S.mean(F.col("_e")))
-    df = df.withColumn("_d", S.deviation(F.col("_e"), F.col("_m")))
-    spans = S.frame_spans(S.hit_frames(F.col("_e"), F.col("_m"), F.col("_d")), F.size("audio"), frame)
-    df = annotate(df, {"vad_speech_timestamps": F.coalesce(spans, S.no_spans())})
-    if merged:
-        df = annotate(df, {"vad_speech_timestamps": S.merge_spans(F.col("vad_speech_timestamps"), F.size("audio"))})
+    spans = S.energy_spans(F.col("audio"), frame)
+    df = annotate(df, {"vad_speech_timestamps": S.merge_spans(spans, F.size("audio")) if merged else spans})
     df = annotate(df, {"_ratio": S.speech_ratio(F.col("vad_speech_timestamps"), F.size("audio")), "vad_backend": F.lit("energy_merged" if merged else "energy_fallback")})
-    return annotate(df, {"vad_speech_ratio": F.round("_ratio", 4)}).drop("_e", "_m", "_d")
+    return annotate(df, {"vad_speech_ratio": F.round("_ratio", 4)})
 
 
 def vad_filter(min_speech_ratio: float = 0.3, frame: int = 512, merged: bool = False) -> Stage:
@@ -37,13 +32,10 @@ def snr_columns(audio: Column, spans: Column, rate: Column, frame: int = 512) ->
     """(decibels, note) from spans, or from frame energies without them."""
     n = F.size(audio)
     merged = S.merge_spans(spans, n)
-    quiet = n - S.spans_length(merged)
-    noise = F.try_divide(S.spans_energy(audio, S.gaps(merged, n)), quiet)
-    speech = F.coalesce(F.try_divide(S.spans_energy(audio, merged), S.spans_length(merged)), F.lit(0.0))
-    short = quiet < 0.1 * rate
-    with_spans = F.when(short, F.lit(S.CAP_DB)).when(noise == 0, F.lit(S.CAP_DB)).otherwise(S.decibels(speech, noise))
-    energies = S.frame_energies(audio, frame, partial=False)
-    without = F.when(n < frame, F.lit(S.CAP_DB)).otherwise(S.quartile_snr(energies, S.quantile(energies, 0.75)))
+    short = n - S.spans_length(merged) < 0.1 * rate
+    with_spans = S.span_snr(audio, merged, rate)
+    by_frames = S.let(S.frame_energies(audio, frame, partial=False), lambda e: S.quartile_snr(e, S.quantile(e, 0.75)))
+    without = F.when(n < frame, F.lit(S.CAP_DB)).otherwise(by_frames)
     has = F.coalesce(F.size(spans), F.lit(0)) > 0
     return F.when(has, with_spans).otherwise(without), F.when(has & short, F.lit("insufficient_noise_floor"))
 
