@@ -50,7 +50,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("item_ids", F.array_join(F.transform("item_ids", lambda x: x.cast("string")), ","))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +70,4 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {"op8_warc": warc_zip.ORACLE}
+ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE, "op8_warc": warc_zip.ORACLE, "op9_decontamination": decontaminate.ORACLE}

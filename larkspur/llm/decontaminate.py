@@ -126,3 +126,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that overlap no item, all columns as they were; edge cases as in :func:`contaminated`."""
     return without(docs, overlaps(docs, benchmark, id_col, text_col, **options), [id_col])
+
+
+#: The query in SQL: seeds of both masks, distinct windows around hits, and their agreeing words by position.
+ORACLE = r"""
+WITH i AS (SELECT DISTINCT item_id, ws FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM benchmark) WHERE len(ws) >= 8),
+n AS (SELECT row_number() OVER () AS t, item_id, ws, len(ws) AS n, least(len(ws), 50) AS size FROM i),
+iw AS (SELECT t, item_id, n, size, unnest(ws) AS w, unnest(range(0, len(ws))) AS pos FROM n),
+d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+dw AS (SELECT r, unnest(ws) AS w, unnest(range(0, len(ws))) AS pos FROM (SELECT r, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM d)),
+ia AS (SELECT t, n, size, pos, w, lead(w, 1) OVER o AS w1, lead(w, 3) OVER o AS w3, lead(w, 4) OVER o AS w4, lead(w, 5) OVER o AS w5, lead(w, 6) OVER o AS w6, lead(w, 7) OVER o AS w7 FROM iw WINDOW o AS (PARTITION BY t ORDER BY pos)),
+da AS (SELECT r, pos, w, lead(w, 1) OVER o AS w1, lead(w, 3) OVER o AS w3, lead(w, 4) OVER o AS w4, lead(w, 5) OVER o AS w5, lead(w, 6) OVER o AS w6, lead(w, 7) OVER o AS w7 FROM dw WINDOW o AS (PARTITION BY r ORDER BY pos)),
+hit AS (SELECT r, t, n, size, da.pos AS dpos, ia.pos AS ipos FROM da JOIN ia ON da.w = ia.w AND da.w5 = ia.w5 AND da.w6 = ia.w6 AND da.w7 = ia.w7
+  UNION SELECT r, t, n, size, da.pos, ia.pos FROM da JOIN ia ON da.w = ia.w AND da.w1 = ia.w1 AND da.w3 = ia.w3 AND da.w4 = ia.w4),
+win AS (SELECT DISTINCT r, t, size, greatest(0, least(ipos - 21, n - size)) AS first, dpos - (ipos - greatest(0, least(ipos - 21, n - size))) AS start FROM hit),
+laid AS (SELECT r, t, size, first, start, unnest(range(0, size)) AS k FROM win),
+seen AS (SELECT l.r, l.t, l.first, l.start, l.size, count(dw.w) AS same FROM laid l JOIN iw ON iw.t = l.t AND iw.pos = l.first + l.k LEFT JOIN dw ON dw.r = l.r AND dw.pos = l.start + l.k AND dw.w = iw.w GROUP BY l.r, l.t, l.first, l.start, l.size),
+best AS (SELECT d.doc_id, n.item_id, max(s.same / CAST(s.size AS DOUBLE)) AS overlap FROM seen s JOIN d ON d.r = s.r JOIN n ON n.t = s.t WHERE s.same / CAST(s.size AS DOUBLE) >= 0.8 GROUP BY d.doc_id, n.item_id),
+by_doc AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids, max(overlap) AS overlap FROM best GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(b.n_items, 0) AS BIGINT) AS n_items, coalesce(b.item_ids, '') AS item_ids, coalesce(b.overlap, 0.0) AS overlap, b.n_items IS NOT NULL AS contaminated
+FROM d LEFT JOIN by_doc b ON d.doc_id IS NOT DISTINCT FROM b.doc_id
+"""

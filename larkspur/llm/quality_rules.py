@@ -171,3 +171,27 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
         return apply
 
     return map_texts(df, [id_col], text_col, kernel, FIELDS)
+
+
+#: The query in SQL: base counts, then all rules at once, as their order never changes a verdict.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+l AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+w AS (SELECT r, len(ws) AS n, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM l),
+g AS (SELECT *, CASE WHEN i + 4 <= n THEN w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o END AS gram FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+c AS (SELECT *, gram IS NOT NULL AND count(*) OVER (PARTITION BY r, gram) > 1 AS twice FROM g),
+m AS (SELECT *, max(CASE WHEN twice THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS covered FROM c),
+k AS (SELECT r, count(*) AS n_words, sum(length(w)) AS chars, sum(covered) AS repeated, count(*) FILTER (WHERE regexp_matches(w, '[A-Za-z]|[^\x00-\x7F]')) AS letters FROM m GROUP BY r),
+f AS (SELECT r, max(k) AS most FROM (SELECT r, w, count(*) AS k FROM w GROUP BY r, w) GROUP BY r),
+s AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+a AS (SELECT d.doc_id, CAST(coalesce(k.n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(k.chars, 0) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(s.dup, 0) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(k.repeated, 0) AS BIGINT) AS n_repeat_words, coalesce(s.n_lines, 0) AS n_lines, coalesce(k.letters, 0) AS letters, coalesce(f.most, 0) AS most,
+  length(regexp_replace(t, '[^A-Z]', '', 'g')) AS upper_, length(regexp_replace(t, '[^a-z]', '', 'g')) AS lower_, length(regexp_replace(t, '[^!]', '', 'g')) AS marks
+  FROM d LEFT JOIN k ON d.r = k.r LEFT JOIN s ON d.r = s.r LEFT JOIN f ON d.r = f.r),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 4 * n_symbols > n_words OR upper_ > lower_ OR 3 * marks > n_words OR (n_lines >= 6 AND 2 * n_dup_lines > n_lines)
+    OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 2 * letters < n_words OR (n_words >= 50 AND 5 * most > 2 * n_words)) AS kept
+FROM b
+"""
