@@ -154,7 +154,7 @@ class PieceModel:
             place = np.cumsum(alive) - 1
             sym, word, slot, rank = sym[alive], word[alive], slot[alive], rank[alive]
             at = place[hit]
-            renew = np.unique(np.r_[at, at[at > 0] - 1])
+            renew = np.r_[at, at[at > 0] - 1]  # a pair that two merges touch is looked up twice, which is cheaper than sorting
             last = np.r_[word[1:] != word[:-1], True]
             rank[renew] = NONE
             renew = renew[~last[renew]]
@@ -196,27 +196,26 @@ class PieceModel:
         keep = stops == stops[base]
         return hit[keep], made[keep]
 
+    def flat_ids(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """Piece ids of all words, and where each word's ids end; plain spaces stand for space marks."""
+        sym, count = self.merge([w.replace(" ", SPACE) for w in words])
+        ends = np.cumsum(count)
+        is_unknown = sym >= self.size
+        unknown = np.flatnonzero(is_unknown)
+        if unknown.size:  # byte fallback
+            made = [[self.byte_ids[b] for b in chr(s - self.size).encode("utf-8", "surrogatepass")] for s in sym[unknown].tolist()]
+            width = np.ones(sym.size, dtype=np.int64)
+            width[unknown] = [len(ids) for ids in made]
+            upto = np.r_[0, np.cumsum(width)]
+            sym = np.repeat(sym, width)
+            sym[np.repeat(is_unknown, width)] = [i for ids in made for i in ids]
+            ends = upto[ends]
+        return sym.tolist(), ends.tolist()
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Piece ids of each word; plain spaces stand for space marks."""
-        sym, count = self.merge([w.replace(" ", SPACE) for w in words])
-        if sym.size and sym.max() >= self.size:  # byte fallback
-            ids: list[list[int]] = []
-            flat, at = sym.tolist(), 0
-            for c in count.tolist():
-                out: list[int] = []
-                for s in flat[at : at + c]:
-                    if s < self.size:
-                        out.append(s)
-                    else:
-                        out += [self.byte_ids[b] for b in chr(s - self.size).encode("utf-8", "surrogatepass")]
-                ids.append(out)
-                at += c
-            return ids
-        flat, at, ids = sym.tolist(), 0, []
-        for c in count.tolist():
-            ids.append(flat[at : at + c])
-            at += c
-        return ids
+        flat, ends = self.flat_ids(words)
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def split(self, text: str) -> list[str]:
         """Words of a whole text, the dummy prefix included; none for an empty text."""
@@ -266,8 +265,10 @@ class _Cached:
         names, pieces = self.model.texts, self.model.decoded
         for start in range(0, len(new), MERGE_WORDS):
             part = new[start : start + MERGE_WORDS]
-            for w, ids in zip(part, self.model.encode_words(part)):
-                self.known[w] = len(ids), ",".join([names[i] for i in ids]), b"".join([pieces[i] for i in ids])
+            flat, ends = self.model.flat_ids(part)
+            text, data = [names[i] for i in flat], [pieces[i] for i in flat]
+            for w, a, b in zip(part, [0, *ends], ends):
+                self.known[w] = b - a, ",".join(text[a:b]), b"".join(data[a:b])
 
 
 def _digest_kernel(path: str, with_ids: bool = False):
