@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 SLICE_BYTES = 2 << 20
 BATCH_ROWS = 500
+SMALL_BYTES = 8 << 20
 BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -31,6 +32,16 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of an estimated ``SMALL_BYTES`` or less dealt over all cores; others as they are.
+
+    A small file is often one row group and so one task. Larger tables are read in many, and
+    their texts never move for this.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if 0 <= size <= SMALL_BYTES else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data directory, read lazily by Spark only."""
     from larkspur.runtime import table as read
@@ -87,4 +98,4 @@ def map_texts(
                 columns = [c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, schema)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return slim.mapInArrow(run, out)
+    return spread(slim).mapInArrow(run, out)

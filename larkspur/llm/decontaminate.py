@@ -24,6 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import spread
 from larkspur.llm.shared import without
 
 MASKS = ((0, 5, 6, 7), (0, 1, 3, 4))
@@ -75,7 +76,7 @@ def overlaps(
     Documents and items without words (null or empty) and items of fewer than 8 words overlap
     nothing. Repeated documents with one id, and repeated items, give one pair.
     """
-    lines = docs.select(F.col(f"`{id_col}`").alias("id"), words_of(F.col(f"`{text_col}`")).alias("w"))
+    lines = spread(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"))).select("id", words_of(F.col("t")).alias("w"))
     lines = _seeded(lines, ["id"])
     found = []
     for block in blocks(benchmark_items(benchmark, item_col, item_text)):
