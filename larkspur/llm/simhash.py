@@ -160,6 +160,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out
 
 
+def keyed_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, hash, t): rows by id and a hash of the text."""
+    return df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"), F.col(f"`{text_col}`").alias("t"))
+
+
+def keep_first(df: DataFrame, fps: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` whose key names its component; ``fps`` is (key, fp), ``found`` (fp, component)."""
+    rest = fps.join(found, "fp").where(~F.col("key").eqNullSafe(F.col("component"))).select("key.*")
+    marked = df.withColumn("_hash", F.xxhash64(F.col(f"`{text_col}`")))
+    marked = without(marked.withColumn("_id", F.col(f"`{id_col}`")), rest.toDF("_id", "_hash"), ["_id", "_hash"])
+    if not fps.groupBy("key").count().where("count > 1").isEmpty():
+        marked = marked.dropDuplicates(["_id", "_hash"])
+    return marked.drop("_id", "_hash")
+
+
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of linked texts: the one with the smallest id, all columns as they were.
 
@@ -167,13 +182,6 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     are judged apart; of wholly repeated rows one stays. Null, empty and word-less texts
     form one group. Null ids come before all others.
     """
-    keyed = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"), F.col(f"`{text_col}`").alias("t"))
-    fps = fingerprints(keyed, ["id", "hash"], "t").select(F.struct("id", "hash").alias("key"), "fp")
+    fps = fingerprints(keyed_texts(df, id_col, text_col), ["id", "hash"], "t").select(F.struct("id", "hash").alias("key"), "fp")
     fps = cut_lineage(fps)
-    found = components(fps, "key")
-    rest = fps.join(found, "fp").where(~F.col("key").eqNullSafe(F.col("component"))).select("key.*")
-    marked = df.withColumn("_hash", F.xxhash64(F.col(f"`{text_col}`")))
-    marked = without(marked.withColumn("_id", F.col(f"`{id_col}`")), rest.toDF("_id", "_hash"), ["_id", "_hash"])
-    if not fps.groupBy("key").count().where("count > 1").isEmpty():
-        marked = marked.dropDuplicates(["_id", "_hash"])
-    return marked.drop("_id", "_hash")
+    return keep_first(df, fps, components(fps, "key"), id_col, text_col)
