@@ -42,7 +42,11 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify(table(spark, sf_dir, "documents"))
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = language_id.fit(docs, "doc_id", "text", "lang")
+    found = language_id.identify(docs, model=model).withColumn("kind", F.lit("document"))
+    seen = language_id.identify(pages, "page_id", "html", None, None, "url", model, html_col="html")
+    return found.unionByName(seen.withColumnRenamed("page_id", "doc_id").withColumn("kind", F.lit("page")))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

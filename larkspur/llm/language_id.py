@@ -130,7 +130,7 @@ def markup_language(html: Column) -> Column:
 def identify(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang",
     host_col: str | None = "source", url_col: str | None = None, model: TextModel | None = None,
-    least_confidence: float = LEAST_CONFIDENCE,
+    least_confidence: float = LEAST_CONFIDENCE, html_col: str | None = None,
 ) -> DataFrame:
     """(id, language, text_language, confidence, n_trigrams, kept): one row per input row.
 
@@ -139,7 +139,8 @@ def identify(
     ``least_confidence`` and the text's own language explains its trigrams better than noise
     (equal probabilities of all buckets) does; text in no language of the labels is rejected so. Null, empty and letterless texts have null languages, confidence 0
     and aren't kept. Missing declarations, hosts and addresses are no evidence; null hosts
-    share the prior of all rows. Repeated rows get equal results, an empty table or one without labels
+    share the prior of all rows. With ``html_col`` its markup declares the language where no
+    ``declared_col`` does, and its main text is read if it is the text column. Repeated rows get equal results, an empty table or one without labels
     keeps nothing, other columns are ignored.
     """
     if model is None:
@@ -147,7 +148,10 @@ def identify(
     languages, none = model.languages, F.lit(None).cast("string")
     rows = df.select(
         F.col(f"`{id_col}`").alias("i"),
-        (F.lower(F.col(f"`{declared_col}`").cast("string")) if declared_col else none).alias("declared"),
+        F.coalesce(
+            F.lower(F.col(f"`{declared_col}`").cast("string")) if declared_col else none,
+            markup_language(F.col(f"`{html_col}`")) if html_col else none,
+        ).alias("declared"),
         (F.col(f"`{host_col}`").cast("string") if host_col else host_of(F.col(f"`{url_col}`")) if url_col else none).alias("host"),
         (address_language(F.col(f"`{url_col}`"), languages) if url_col else none).alias("address"),
         (F.regexp_extract(host_of(F.col(f"`{url_col}`")), r"\.([a-z]+)$", 1) if url_col else F.lit("")).alias("suffix"),
@@ -155,8 +159,10 @@ def identify(
     )
 
     def kernel():
+        from larkspur.llm.html_extract import extract_page  # which imports this module
+
         def apply(texts: list) -> dict:
-            made = [model.score(t) for t in texts]
+            made = [model.score(extract_page(t, None) if text_col == html_col else t) for t in texts]
             return {"n": [n for n, _ in made], "ll": [ll for _, ll in made]}
 
         return apply
