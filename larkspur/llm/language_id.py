@@ -2,9 +2,10 @@
 
 Evidence for each language, added up as logarithms:
 
-* the text: hashed byte-trigram naive Bayes, fitted on a bounded sample of labelled rows
-  (``SAMPLE_ROWS`` rows, the ones whose keys hash lowest; a documented limit of the fit
-  only), applied to whole texts. The mean log-likelihood counts for at most ``WEIGHT``
+* the text: hashed byte-trigram naive Bayes, fitted on a bounded sample of each label's rows
+  (the ones whose keys hash lowest; ``SAMPLE_ROWS`` in all, ``LABEL_ROWS`` a label at most and
+  ``LEAST_LABELLED`` at least; a documented limit of the fit only), applied to whole texts.
+  Labels are counted over all rows, so that each with enough of them is a class. The mean log-likelihood counts for at most ``WEIGHT``
   trigrams, since neighbouring trigrams aren't independent;
 * the declared markup language, trusted as far as declarations agree with texts over all rows;
 * the address: its country suffix or a language segment of its path;
@@ -21,13 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import bound_batches, map_texts
 from larkspur.llm.shared import cut_lineage, look_up
 
 SAMPLE_ROWS = 4000
+LABEL_ROWS = 1000  # Spark limits such groups before it shuffles them
 LEAST_LABELLED = 5
 BUCKETS = 1 << 16
 WEIGHT = 200.0
@@ -75,31 +77,36 @@ class TextModel:
 
 
 def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = SAMPLE_ROWS) -> TextModel:
-    """Fit the text model on at most ``sample_rows`` keys of labelled rows; counts are summed in Spark."""
+    """Fit the text model on a sample of each label's keys; counts are summed in Spark.
+
+    The labels with ``LEAST_LABELLED`` of all rows (or as many as the most frequent has) share
+    ``sample_rows`` evenly, with ``LEAST_LABELLED`` keys at least and ``LABEL_ROWS`` at most.
+    """
     rows = df.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{label_col}`").cast("string").alias("l"), F.col(f"`{text_col}`").cast("string").alias("t"))
     rows = rows.where("i is not null and l is not null and t is not null")
     bound_batches(df.sparkSession)
-    ids = rows.select("i", F.xxhash64("i").alias("h")).orderBy("h", "i").limit(sample_rows).select("i").distinct()
+    sizes = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
+    languages = sorted(x for x, n in sizes.items() if n >= min(LEAST_LABELLED, max(sizes.values())))
+    most = max(LEAST_LABELLED, min(LABEL_ROWS, sample_rows // max(1, len(languages))))
+    keys = rows.where(F.col("l").isin(languages)).select("l", "i", F.xxhash64("i").alias("h"))
+    keys = keys.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i")))
+    keys = keys.where(F.col("r") <= most).select("l", "i").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
-        seen: dict[str, int] = {}
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.setdefault(label, np.zeros(BUCKETS, dtype=np.int64))
                 held[label] += np.bincount(trigrams(text), minlength=BUCKETS)
-                seen[label] = seen.get(label, 0) + 1
         for label, counts in held.items():
             at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_pydict({"l": [label] * (at.size + 1), "b": [-1, *at.tolist()], "n": [seen[label], *counts[at].tolist()]})
+            yield pa.RecordBatch.from_pydict({"l": [label] * at.size, "b": at.tolist(), "n": counts[at].tolist()})
 
-    counted = rows.join(F.broadcast(ids), "i", "left_semi").select("l", "t").mapInArrow(count, "l string, b bigint, n bigint")
-    counted = counted.groupBy("l", "b").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS + 1 rows a language
-    sizes = counted[counted.b == -1].set_index("l").n
-    languages = sorted(sizes[sizes >= min(LEAST_LABELLED, sizes.max())].index) if len(sizes) else []
+    counted = rows.join(F.broadcast(keys), ["l", "i"], "left_semi").select("l", "t").mapInArrow(count, "l string, b bigint, n bigint")
+    counted = counted.groupBy("l", "b").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows a language
     table = np.zeros((BUCKETS, len(languages)))
     for i, language in enumerate(languages):
-        own = counted[(counted.l == language) & (counted.b >= 0)]
+        own = counted[counted.l == language]
         table[own.b.to_numpy(), i] = own.n.to_numpy()
     return TextModel(languages, table)
 

@@ -23,3 +23,12 @@ def test_markup_decides_where_the_text_does_not(spark):
     df = spark.createDataFrame(rows, "page_id long, html string")
     out = {r.page_id: r for r in LID.identify(df, "page_id", "html", None, None, None, model, html_col="html").collect()}
     assert out[100].language == "de" and out[101].language == "en" and out[100].n_trigrams == LID.trigrams("zz").size
+
+
+def test_rare_labels_are_classes(spark):
+    rows = [(i, "the and not a one quick over this that", "en") for i in range(900)] + [(1000 + i, "ja ei se on kun niin myös", "fi") for i in range(6)] + [(2000, "seldom", "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = LID.fit(df, "doc_id", "text", "lang", sample_rows=30)
+    assert model.languages == ["en", "fi"]
+    assert model.score("niin kun se on")[1][1] > model.score("niin kun se on")[1][0]
+    assert LID.fit(df.where("false"), "doc_id", "text", "lang").languages == []
