@@ -26,7 +26,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the maximal runs of 32 characters or more
 KINDS = ("assign", "access", "hex", "novel")
 
-SENSITIVE = ("password", "passwd", "secret", "token", "apikey", "api_key", "api-key", "credential", "bearer", "private", "authorization", "access_key", "client_key", "signature")
+SENSITIVE = ("password", "passwd", "secret", "token", "apikey", "api_key", "api-key", "credential", "bearer", "private", "authorization", "access_key", "client_key", "signature", "key", "auth", "pwd")
 SENSITIVE_AT = re.compile("|".join(map(re.escape, SENSITIVE)))
 LEAST = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=\-]{{{LEAST},}}")
@@ -34,6 +34,11 @@ CONTEXT = 256
 REACH = 48
 SHARE = 0.62
 CHANGES = 0.42
+LETTERS = {  # parts in a thousand of each letter in words
+    "a": 82, "b": 15, "c": 28, "d": 43, "e": 127, "f": 22, "g": 20, "h": 61, "i": 70, "j": 2, "k": 8, "l": 40, "m": 24,
+    "n": 67, "o": 75, "p": 19, "q": 1, "r": 60, "s": 63, "t": 91, "u": 28, "v": 10, "w": 24, "x": 2, "y": 20, "z": 1,
+}
+WORDLIKE = {c: math.log2(26 * p / 1000) for c, p in LETTERS.items()}
 HEXLIKE = re.compile(r"[0-9A-F]+|[0-9a-f]+")
 IDENTIFIERS = b"""the and of to in for with from this that return function class public private static void int string
  char const unsigned long double float boolean true false null none undefined self import export default package module
@@ -59,17 +64,17 @@ class Novelty:
 
     def novel(self, before: str, candidate: str, after: str) -> bool:
         """Whether the candidate is about as long, compressed, as random characters would be."""
-        kinds = sum(any(map(f, candidate)) for f in (str.isdigit, str.islower, str.isupper))
-        if kinds < 2 or not any(map(str.isdigit, candidate)):
-            return False
+        digits, lower, upper = (any(map(f, candidate)) for f in (str.isdigit, str.islower, str.isupper))
         n, count = len(candidate), Counter(candidate)
         entropy = -sum(c / n * math.log2(c / n) for c in count.values())
-        if entropy < 3.0:
+        if entropy < (3.0 if lower or upper else 2.5):  # ten digits hold 3.3 bits at most
             return False
-        if not HEXLIKE.fullmatch(candidate):  # words joined in capitals change case at word starts only
+        if digits and lower and upper:  # words joined in capitals change case at word starts only
             of = [(c.isdigit(), c.isupper()) for c in candidate]
             if sum(a != b for a, b in zip(of, of[1:])) < CHANGES * (n - 1):
                 return False
+        elif not (digits and HEXLIKE.fullmatch(candidate)) and sum(WORDLIKE.get(c, 0.0) for c in candidate.lower()) > 0:
+            return False  # in one case, or without digits, letters are as frequent as in words
         added = self.marginal(*(x.encode("utf-8", "surrogatepass") for x in (before, candidate, after)))
         return added >= SHARE * n * min(1.0, math.log2(max(len(count), 2)) / 6 + 0.25)
 
