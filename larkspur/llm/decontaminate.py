@@ -125,8 +125,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that overlap no item, all columns as they were; edge cases as in :func:`contaminated`."""
-    return without(docs, overlaps(docs, benchmark, id_col, text_col, **options), [id_col])
+    """The documents that overlap no item, all columns as they were.
+
+    Rows are told apart by id and a hash of the text, so clean rows that share an id, or the
+    null id, with a contaminated one stay; other edge cases as in :func:`contaminated`.
+    """
+    marked = docs.withColumn("_id", F.col(f"`{id_col}`")).withColumn("_hash", F.xxhash64(F.col(f"`{text_col}`")))
+    found = overlaps(marked.withColumn("_key", F.struct("_id", "_hash")), benchmark, "_key", text_col, **options)
+    return without(marked, found.select("_key.*"), ["_id", "_hash"]).drop("_id", "_hash")
 
 
 #: The query in SQL: seeds of both masks, distinct windows around hits, and their agreeing words by position.
