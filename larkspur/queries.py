@@ -279,7 +279,7 @@ def f5_manifest(spark, sf_dir):
 ',"metadata":{' || concat_ws(',', CASE WHEN doc_id % 3 = 0 THEN '"parent_doc_id":"' || source || '"' END, CASE WHEN doc_id % 2 = 0 THEN '"speaker_id":"' || lang || '"' END) || '},"pipeline_version":"0.1.0","processed_at":"2026-01-01T00:00:00+00:00"}' AS value
 FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL AND n_chars < 100000""")
 def jsonl_manifest(spark, sf_dir):
-    rows = doc_clips(spark, sf_dir).drop("transcription").withColumn("sample_rate", F.lit(16_000)).where("duration_seconds < 1000")
+    rows = doc_clips(spark, sf_dir).drop("transcription").withColumn("sample_rate", F.lit(16_000))
     return manifests.jsonl_rows(rows, "0.1.0", F.lit("2026-01-01T00:00:00+00:00"))
 
 
