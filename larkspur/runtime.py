@@ -30,10 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset."""
+    """The shared folder that ``spark.checkpoint.dir`` names, or that the session was given.
+
+    Where none is set, a local session gets a temporary folder; on a cluster that would lie on
+    one machine, out of the executors' sight, so it is a RuntimeError there.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="larkspur-checkpoint-"))
     return named or sc.getCheckpointDir()
 
