@@ -38,7 +38,10 @@ def spread(df: DataFrame) -> DataFrame:
     A small file is often one row group and so one task. Larger tables are read in many, and
     their texts never move for this.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except ValueError:  # estimates multiply over joins, until Python refuses their digits
+        return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if 0 <= size <= SMALL_BYTES else df
 
 

@@ -2,31 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 500_000
+from larkspur.runtime import checkpoint_folder, cut_lineage
 
+__all__ = ["checkpoint_folder", "cut_lineage", "delete", "fresh", "join_hot", "look_up", "without", "written"]
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    have = sc.getCheckpointDir()
-    if have is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="larkspur-checkpoint-"))
-        have = sc.getCheckpointDir()
-    return named or have
+BROADCAST_ROWS = 500_000
+HOT_SHARE = 256
+HOT_ROWS = 20_000
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there from now on."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name = f"_{name}"
+    return name
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -55,6 +51,26 @@ def without(df: DataFrame, keys: DataFrame, on: list[str], limit: int = BROADCAS
     return df.join(F.broadcast(keys) if small else keys, match, "left_anti")
 
 
+def join_hot(left: DataFrame, right: DataFrame, on: str, how: str = "inner", least: int = HOT_ROWS) -> DataFrame:
+    """``left`` joined (inner or left) with a table that has one narrow row a key; hot keys don't shuffle.
+
+    Keys that hold more than a ``HOT_SHARE``-th of the rows of ``left`` (and ``least`` rows) are
+    found by a pre-aggregated count. There are fewer than ``HOT_SHARE`` of them whatever the
+    size, so their rows of ``right`` are broadcast; the other keys are joined by shuffling.
+    Give tables whose lineage is cut, since each is read twice where a key is hot.
+    """
+    total = left.count()
+    if total <= least:
+        return left.join(right, on, how)
+    hot = left.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(least, total // HOT_SHARE))
+    hot = cut_lineage(hot.select(on))
+    if hot.isEmpty():
+        return left.join(right, on, how)
+    few = F.broadcast(hot)
+    one = left.join(few, on, "left_semi").join(F.broadcast(right.join(few, on, "left_semi")), on, how)
+    return one.unionByName(left.join(few, on, "left_anti").join(right.join(few, on, "left_anti"), on, how))
+
+
 def look_up(df: DataFrame, small: DataFrame, on: list[str], spread: str, limit: int = 100_000, salts: int = 16) -> DataFrame:
     """``df`` left-joined with a narrow table that has one row a key; no key lands in one task.
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import map_texts
-from larkspur.llm.shared import cut_lineage, without
+from larkspur.llm.shared import HOT_ROWS, cut_lineage, fresh, join_hot, without
 
 SEED = 42
 SHINGLE = 3
@@ -116,19 +116,21 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return few.unionByName(some).unionByName(dense)
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, least: int = HOT_ROWS) -> DataFrame:
     """(node, label): the smallest node of each node's component, for every node of ``edges`` (a, b).
 
     Minimum labels over neighbours plus pointer jumping, one checkpoint a round, until no label
-    changes; the number of rounds grows with the logarithm of a component's diameter.
+    changes; the number of rounds grows with the logarithm of a component's diameter. Hubs and
+    the labels of large components are hot keys of these joins (see ``join_hot``). Repeated
+    edges and edges both ways count once; without edges there are no nodes.
     """
     both = cut_lineage(edges.union(edges.select("b", "a")).toDF("u", "v").distinct())
     labels = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
     while True:
-        near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("m"))
-        new = labels.join(near, labels.node == near.u).select("node", F.least("label", "m").alias("label"), F.col("label").alias("old"))
-        up = labels.select(F.col("node").alias("top"), F.col("label").alias("above"))
-        new = new.join(up, new.label == up.top).select("node", F.least("label", "above").alias("label"), "old")
+        near = join_hot(both, labels.withColumnRenamed("node", "v"), "v", least=least).groupBy("u").agg(F.min("label").alias("m"))
+        new = labels.join(near, labels.node == near.u).select("node", F.least("label", "m").alias("at"), F.col("label").alias("old"))
+        new = cut_lineage(new)
+        new = join_hot(new, labels.toDF("at", "above"), "at", least=least).select("node", F.least("at", "above").alias("label"), "old")
         new = cut_lineage(new)
         done = new.where("label <> old").isEmpty()
         labels = new.select("node", "label")
@@ -137,12 +139,15 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def components(fps: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(fp, component): the smallest id in the component of each distinct fingerprint."""
+    """(fp, component): the smallest id in the component of each distinct fingerprint.
+
+    Null ids are passed over unless a component has no others; an empty table has no components.
+    """
     nodes = cut_lineage(fps.groupBy("fp").agg(F.min(id_col).alias("rep")))
     roots = connected(links(nodes.select("fp")))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("label", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
-    return named.join(least, "root").select("fp", "component")
+    return cut_lineage(join_hot(cut_lineage(named), cut_lineage(least), "root").select("fp", "component"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,7 +161,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     fps = cut_lineage(fingerprints(df, [id_col], text_col))
     found = components(fps, id_col)
-    out = fps.join(found, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    out = join_hot(fps, found, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
     return out
 
 
@@ -166,13 +171,14 @@ def keyed_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def keep_first(df: DataFrame, fps: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``df`` whose key names its component; ``fps`` is (key, fp), ``found`` (fp, component)."""
-    rest = fps.join(found, "fp").where(~F.col("key").eqNullSafe(F.col("component"))).select("key.*")
-    marked = df.withColumn("_hash", F.xxhash64(F.col(f"`{text_col}`")))
-    marked = without(marked.withColumn("_id", F.col(f"`{id_col}`")), rest.toDF("_id", "_hash"), ["_id", "_hash"])
+    """The rows of ``df`` whose key names its component; ``fps`` is (key, fp), ``found`` (fp, component), both checkpointed."""
+    rest = join_hot(fps, found, "fp").where(~F.col("key").eqNullSafe(F.col("component"))).select("key.*")
+    of, id_of = fresh(df, "_hash"), fresh(df, "_id")
+    marked = df.withColumns({of: F.xxhash64(F.col(f"`{text_col}`")), id_of: F.col(f"`{id_col}`")})
+    marked = without(marked, rest.toDF(id_of, of), [id_of, of])
     if not fps.groupBy("key").count().where("count > 1").isEmpty():
-        marked = marked.dropDuplicates(["_id", "_hash"])
-    return marked.drop("_id", "_hash")
+        marked = marked.dropDuplicates([id_of, of])
+    return marked.drop(id_of, of)
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
