@@ -4,14 +4,17 @@ The novelty method looks at strings of token characters that follow a sensitive
 token, credential, ...) closely. A candidate's marginal size is what it adds to the
 compressed size of the code around it, with a compressor primed by a dictionary of common
 identifiers and words. Ordinary identifiers, words, paths and repeats compress well; a
-string that stays nearly as long as its own information is reported as ``novel``.
+string that adds 0.7 bytes a character or more is reported as ``novel``. Nothing else
+decides: there are no rules about cases, digits or letters.
 """
 
 from __future__ import annotations
 
+import builtins
 import hashlib
-import math
+import keyword
 import re
+import sys
 from collections import Counter
 from functools import lru_cache
 from itertools import accumulate
@@ -32,14 +35,7 @@ LEAST = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=\-]{{{LEAST},}}")
 CONTEXT = 256
 REACH = 48
-SHARE = 0.62
-CHANGES = 0.42
-LETTERS = {  # parts in a thousand of each letter in words
-    "a": 82, "b": 15, "c": 28, "d": 43, "e": 127, "f": 22, "g": 20, "h": 61, "i": 70, "j": 2, "k": 8, "l": 40, "m": 24,
-    "n": 67, "o": 75, "p": 19, "q": 1, "r": 60, "s": 63, "t": 91, "u": 28, "v": 10, "w": 24, "x": 2, "y": 20, "z": 1,
-}
-WORDLIKE = {c: math.log2(26 * p / 1000) for c, p in LETTERS.items()}
-HEXLIKE = re.compile(r"[0-9A-F]+|[0-9a-f]+")
+SHARE = 0.7
 IDENTIFIERS = b"""the and of to in for with from this that return function class public private static void int string
  char const unsigned long double float boolean true false null none undefined self import export default package module
  password passwd secret token api_key apikey access_key client_id client_secret authorization bearer credential
@@ -50,33 +46,36 @@ IDENTIFIERS = b"""the and of to in for with from this that return function class
  https://localhost:8080/ /usr/local/bin /home/user/ --------------------------------================================"""
 
 
+def dictionary() -> bytes:
+    """Lower-case words of code and its prose, the frequent ones last, where matches are cheapest.
+
+    They come from the language reference that Python brings along, and from its keywords,
+    built-in names and module names, so that driver and workers of one version agree.
+    """
+    from pydoc_data.topics import topics
+
+    words = Counter(w.lower() for page in topics.values() for w in re.findall(r"[A-Za-z]{4,}", page))
+    for name in (*dir(builtins), *keyword.kwlist, *sorted(sys.stdlib_module_names)):
+        words.update(w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", name) if len(w) >= 4)
+    return " ".join(sorted(words, key=lambda w: (words[w], w))).encode() + b" " + IDENTIFIERS.lower()
+
+
 class Novelty:
-    """Marginal compressed bytes of a string beside its context."""
+    """Marginal compressed bytes of a string beside its context, letter case aside."""
 
-    def __init__(self, identifiers: bytes = IDENTIFIERS):
+    def __init__(self, identifiers: bytes | None = None):
         import zstandard
 
-        primed = zstandard.ZstdCompressionDict(identifiers, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed = zstandard.ZstdCompressionDict(dictionary() if identifiers is None else identifiers, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.zstd = zstandard.ZstdCompressor(level=6, dict_data=primed, write_content_size=False, write_dict_id=False)
 
-    def marginal(self, before: bytes, candidate: bytes, after: bytes) -> int:
+    def marginal(self, before: str, candidate: str, after: str) -> int:
+        before, candidate, after = (x.lower().encode("utf-8", "surrogatepass") for x in (before, candidate, after))
         return len(self.zstd.compress(before + candidate + after)) - len(self.zstd.compress(before + after))
 
     def novel(self, before: str, candidate: str, after: str) -> bool:
-        """Whether the candidate is about as long, compressed, as random characters would be."""
-        digits, lower, upper = (any(map(f, candidate)) for f in (str.isdigit, str.islower, str.isupper))
-        n, count = len(candidate), Counter(candidate)
-        entropy = -sum(c / n * math.log2(c / n) for c in count.values())
-        if entropy < (3.0 if lower or upper else 2.5):  # ten digits hold 3.3 bits at most
-            return False
-        if digits and lower and upper:  # words joined in capitals change case at word starts only
-            of = [(c.isdigit(), c.isupper()) for c in candidate]
-            if sum(a != b for a, b in zip(of, of[1:])) < CHANGES * (n - 1):
-                return False
-        elif not (digits and HEXLIKE.fullmatch(candidate)) and sum(WORDLIKE.get(c, 0.0) for c in candidate.lower()) > 0:
-            return False  # in one case, or without digits, letters are as frequent as in words
-        added = self.marginal(*(x.encode("utf-8", "surrogatepass") for x in (before, candidate, after)))
-        return added >= SHARE * n * min(1.0, math.log2(max(len(count), 2)) / 6 + 0.25)
+        """Whether the candidate adds at least ``SHARE`` bytes a character."""
+        return self.marginal(before, candidate, after) >= SHARE * len(candidate)
 
 
 @lru_cache(maxsize=1)
