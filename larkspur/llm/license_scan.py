@@ -8,7 +8,8 @@ tag is read as a licence expression: a shunting-yard parser puts it in postfix o
 Scores say how freely a text may be reused: 1 public domain, 0.9 permissive, 0.6 weak
 copyleft, 0.3 copyleft, 0.2 non-commercial, 0 reserved or unknown. ``or`` takes the larger
 score, ``and`` the smaller one, ``with`` (an exception) moves a score a third of the way
-to 0.9. A text's score is the smallest over its tags and notices, 0 if it has none.
+to 0.9. A text's score is the smallest over its tags and notices, 0 if it has none. A notice
+inside a longer one neither scores nor labels, except that the base phrases keep their labels.
 """
 
 from __future__ import annotations
@@ -29,7 +30,12 @@ NOTICES = (
     ("general public license version 2", "gpl-2.0"),
     ("general public license version 3", "gpl-3.0"),
     ("lesser general public license", "lgpl"),
+    ("lesser general public license version 2", "lgpl-2.0"),
+    ("lesser general public license version 2 1", "lgpl-2.1"),
+    ("lesser general public license version 3", "lgpl-3.0"),
+    ("library general public license", "lgpl"),
     ("affero general public license", "agpl"),
+    ("affero general public license version 3", "agpl-3.0"),
     ("mozilla public license", "mpl"),
     ("eclipse public license", "epl"),
     ("redistribution and use in source and binary forms", "bsd"),
@@ -58,18 +64,36 @@ SCORES = (
     (("cc-by-nc", "cc-by-nd"), 0.2),
     (("agpl", "gpl"), 0.3),
     (("cc-by-sa",), 0.5),
-    (("lgpl", "mpl", "epl", "cddl"), 0.6),
+    (("lgpl", "mpl", "epl", "cddl", "eupl", "ofl", "cecill", "ms-rl"), 0.6),
     (("cc0", "unlicense", "public-domain", "0bsd", "wtfpl"), 1.0),
-    (("mit", "apache", "bsd", "isc", "bsl", "zlib", "cc-by", "python", "psf"), 0.9),
+    (("mit", "apache", "bsd", "isc", "bsl", "zlib", "cc-by", "python", "psf", "artistic", "afl", "ncsa", "x11", "curl", "postgresql", "unicode", "openssl", "ms-pl"), 0.9),
 )
+OWN = "licenseref-"
+
+
+def family_score(label: str) -> float | None:
+    """The score of the family that a label belongs to by its prefix, if there is one."""
+    return next((score for prefixes, score in SCORES if any(label == p or label.startswith((p + "-", p + "+")) for p in prefixes)), None)
 
 
 def score_of(label: str) -> float:
-    """The score of one licence; families are matched by their prefix."""
-    for prefixes, score in SCORES:
-        if any(label == p or label.startswith((p + "-", p + "+")) for p in prefixes):
-            return score
-    return 0.0
+    """The score of one licence; reserved, a text's own and unknown ones have 0."""
+    return family_score(label) or 0.0
+
+
+def is_operand(token: str, exception: bool) -> bool:
+    """Whether a token is a known identifier, or the name of an exception where one is due."""
+    if exception:
+        return "exception" in token or token.endswith("-note")
+    return token.startswith(OWN) or family_score(token) is not None
+
+
+def known_start(tokens: list[str]) -> list[str]:
+    """The tokens before the first that is no identifier, so that prose after a tag is no licence."""
+    for i, t in enumerate(tokens):
+        if t not in BINDING and t not in "()" and not is_operand(t, i > 0 and tokens[i - 1] == "with"):
+            return tokens[:i]
+    return tokens
 
 
 def postfix(tokens: list[str]) -> list[str]:
@@ -121,6 +145,16 @@ def evaluate(expression: list[str]) -> tuple[float, set[str]]:
     return stack[0], labels
 
 
+def longest(spans: list[tuple[int, int]]) -> set[tuple[int, int]]:
+    """The spans that no other span holds."""
+    out, reach = set(), -1
+    for start, end in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if end > reach:
+            out.add((start, end))
+            reach = end
+    return out
+
+
 class Scanner:
     def __init__(self):
         import ahocorasick
@@ -146,7 +180,7 @@ class Scanner:
         for end, _ in self.tags.iter(low):
             stop = low.find("\n", end)
             line = low[end + 1 : stop if stop >= 0 else len(low)]
-            if expr := postfix(TOKEN.findall(line)):
+            if expr := postfix(known_start(TOKEN.findall(line))):
                 out.append(expr)
         return out
 
@@ -157,13 +191,15 @@ class Scanner:
         base, labels, scores = set(), set(), []
         flat = " " + b" ".join(words).decode("utf-8", "surrogatepass") + " "
         place = at = 0  # the word number ``at`` of the place that was looked at last
-        for end, (length, hits) in self.phrases.iter(flat):
-            start = end - length + 1
+        matches = [(end - length + 1, end, hits) for end, (length, hits) in self.phrases.iter(flat)]
+        outer = longest([(start, end) for start, end, _ in matches])
+        for start, end, hits in matches:
             at += flat.count(" ", place, start) if start >= place else -flat.count(" ", start, place)
             place = start
             for is_base, label in hits:
-                labels.add(label)
-                scores.append(score_of(label))
+                if (start, end) in outer:
+                    labels.add(label)
+                    scores.append(score_of(label))
                 if is_base:
                     base.add(label)
                     row["n_base"] += 1

@@ -109,6 +109,19 @@ def test_license_query(spark, sf_dir):
         assert set(labels) <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
 
 
+def test_longest_notices_and_known_identifiers():
+    scan = L.Scanner().scan
+    row = scan("GNU Lesser General Public License version 2.1")
+    assert row["labels"] == ["gpl", "lgpl-2.1"] and row["score"] == 0.6 and row["base_labels"] == ["gpl"] and row["n_base"] == 1
+    row = scan("License-Expression: see the LICENSE file")
+    assert row["labels"] == [] and row["score"] == 0
+    row = scan("SPDX-License-Identifier: MIT OR GPL-2.0-only WITH Classpath-exception-2.0 as above")
+    assert row["labels"] == ["gpl-2.0-only", "mit"] and row["score"] == 0.9
+    assert scan("SPDX-License-Identifier: MIT AND LicenseRef-Own")["labels"] == ["licenseref-own", "mit"]
+    assert scan("cc by nc 4.0")["labels"] == ["cc-by", "cc-by-nc-4.0"] and scan("cc by nc 4.0")["score"] == 0.2
+    assert L.longest([(0, 5), (1, 5), (0, 3), (4, 9), (0, 5)]) == {(0, 5), (4, 9)}
+
+
 def test_license_expressions():
     value = lambda s: L.evaluate(L.postfix(L.TOKEN.findall(s.lower())))
     assert L.postfix("a or b and c with d".split()) == ["a", "b", "c", "d", "with", "and", "or"]
