@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import map_texts
 
 PIECE_CHARS = 32_768
-CALL_CHARS = 1 << 18
+CALL_BYTES = 1 << 18
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -87,11 +87,12 @@ class Counter:
             for piece in cut(text) if self.cuts else (text,):
                 if not piece:
                     continue
-                if pieces and held + len(piece) > CALL_CHARS:
+                size = len(piece) if piece.isascii() else len(piece.encode("utf-8", "surrogatepass"))
+                if pieces and held + size > CALL_BYTES:
                     flush()
                 owner.append(i)
                 pieces.append(piece)
-                held += len(piece)
+                held += size
         if pieces:
             flush()
         return out
