@@ -79,7 +79,8 @@ class TextModel:
 def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = SAMPLE_ROWS) -> TextModel:
     """Fit the text model on a sample of each label's keys; counts are summed in Spark.
 
-    The labels with ``LEAST_LABELLED`` of all rows (or as many as the most frequent has) share
+    Rows with a null id, text or label are left out, and a table without any gives a model
+    without languages; a repeated id counts with all its rows. The labels with ``LEAST_LABELLED`` of all rows (or as many as the most frequent has) share
     ``sample_rows`` evenly, with ``LEAST_LABELLED`` keys at least and ``LABEL_ROWS`` at most.
     """
     rows = df.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{label_col}`").cast("string").alias("l"), F.col(f"`{text_col}`").cast("string").alias("t"))
@@ -88,9 +89,14 @@ def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows:
     sizes = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
     languages = sorted(x for x, n in sizes.items() if n >= min(LEAST_LABELLED, max(sizes.values())))
     most = max(LEAST_LABELLED, min(LABEL_ROWS, sample_rows // max(1, len(languages))))
+    # A frequent label's keys are thinned by their hash to about twice the sample, so that no task ranks a third of all rows.
+    share = F.lit(1.0)
+    for language in languages:
+        share = F.when(F.col("l") == language, F.lit(min(1.0, 2 * most / sizes[language]))).otherwise(share)
     keys = rows.where(F.col("l").isin(languages)).select("l", "i", F.xxhash64("i").alias("h"))
+    keys = keys.where(F.shiftrightunsigned("h", 1) / F.lit(float(1 << 63)) < share).distinct()
     keys = keys.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i")))
-    keys = keys.where(F.col("r") <= most).select("l", "i").distinct()
+    keys = keys.where(F.col("r") <= most).select("l", "i")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
