@@ -13,8 +13,9 @@ words, or all of a shorter item, and contains the hit.
 The documents never shuffle: scan, explosion, seeds, broadcast join and the cutting of
 windows run in one generated stage that refers to each row's word array without copying it,
 and only the distinct windows around hits leave it. The benchmark is the stated query set;
-it is broadcast in blocks of a measured size (two windows of at most 50 words for each word), one pass over the documents for each block,
-so its size is never assumed. Usually it is one block.
+it is broadcast in blocks of a measured size, one pass over the documents for each block, so
+its size is never assumed. Seeds are a few numbers each; the items' words are broadcast once
+a block, apart from them, and meet the windows after these were made distinct.
 """
 
 from __future__ import annotations
@@ -25,13 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import spread
-from larkspur.llm.shared import without
+from larkspur.llm.shared import fresh, without
 
 MASKS = ((0, 5, 6, 7), (0, 1, 3, 4))
 WINDOW = 50
 SHARE = 0.8
 LEAST_WORDS = 8
-BLOCK_WORDS = 20_000
+BLOCK_WORDS = 400_000
 GAP = r"[^\p{L}\p{N}]+"
 
 
@@ -67,37 +68,45 @@ def blocks(items: DataFrame, limit: int = BLOCK_WORDS) -> list[DataFrame]:
     return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("w"), F.lit(n)) == i) for i in range(n)]
 
 
-def overlaps(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text: str = "text", share: float = SHARE, window: int = WINDOW,
+def _overlaps(
+    docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text: str = "text",
+    share: float = SHARE, window: int = WINDOW, block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """(id, item, overlap, n_hits): pairs of a document and an item, the best share of agreeing words and the seed hits.
-
-    Documents and items without words (null or empty) and items of fewer than 8 words overlap
-    nothing. Repeated documents with one id, and repeated items, give one pair.
-    """
+    """``overlaps`` as (id, item, overlap, n_hits)."""
     lines = spread(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"))).select("id", words_of(F.col("t")).alias("w"))
     lines = _seeded(lines, ["id"])
     found = []
-    for block in blocks(benchmark_items(benchmark, item_col, item_text)):
+    for block in blocks(benchmark_items(benchmark, item_col, item_text), block_words):
+        block = block.withColumn("of", F.xxhash64("w"))
         size = F.least(F.size("w"), F.lit(window))
         first = F.greatest(F.lit(0), F.least(F.col("at") - F.expr(f"({window} - 8) div 2").cast("int"), F.size("w") - size))
-        seeds = _seeded(block, ["item"]).select(
-            "item", F.slice("w", first + 1, size).alias("iw"), (F.col("at") - first).alias("back"), F.col("seed").alias("iseed")
+        seeds = _seeded(block, ["item", "of"]).select(
+            "item", "of", first.alias("first"), size.alias("size"), (F.col("at") - first).alias("back"), F.col("seed").alias("iseed")
         )
         hits = lines.join(F.broadcast(seeds), F.col("seed") == F.col("iseed"))
         start = F.col("at") - F.col("back")
         lead = F.greatest(F.lit(0), -start)
         hits = hits.select(
-            "id", "item", lead.alias("lead"), "iw", F.slice("w", F.greatest(F.lit(0), start) + 1, F.size("iw") - lead).alias("w")
+            "id", "item", "of", "first", "size", lead.alias("lead"), F.slice("w", F.greatest(F.lit(0), start) + 1, F.col("size") - lead).alias("w")
         )
-        hits = hits.groupBy("id", "item", "lead", "iw", "w").agg(F.count(F.lit(1)).alias("n"))
-        same = F.expr("aggregate(sequence(0, size(iw) - 1), 0, (n, k) -> n + if(get(w, k - lead) <=> get(iw, k), 1, 0))")
-        hits = hits.select("id", "item", (same / F.size("iw")).alias("overlap"), "n")
+        hits = hits.groupBy("id", "item", "of", "first", "size", "lead", "w").agg(F.count(F.lit(1)).alias("n"))
+        hits = hits.join(F.broadcast(block.select("of", F.col("w").alias("iw")).dropDuplicates(["of"])), "of")
+        same = F.expr("aggregate(sequence(0, size - 1), 0, (n, k) -> n + if(get(w, k - lead) <=> get(iw, first + k), 1, 0))")
+        hits = hits.select("id", "item", (same / F.col("size")).alias("overlap"), "n")
         hits = hits.groupBy("id", "item").agg(F.max("overlap").alias("overlap"), F.sum("n").alias("n_hits"))
         found.append(hits.where(F.col("overlap") >= share))
-    out = reduce(DataFrame.unionByName, found)
-    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "overlap", "n_hits")
+    return reduce(DataFrame.unionByName, found)
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", **options) -> DataFrame:
+    """(id, item, overlap, n_hits): pairs of a document and an item, the best share of agreeing words and the seed hits.
+
+    Documents and items without words (null or empty) and items of fewer than 8 words overlap
+    nothing. Repeated documents with one id, and repeated items, give one pair. Where both
+    identifiers have one name, the item's is called ``item``.
+    """
+    out = _overlaps(docs, benchmark, id_col, text_col, item_col, **options)
+    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col if item_col != id_col else "item"), "overlap", "n_hits")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -105,18 +114,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     ``item_ids`` are the distinct items, ascending; a clean document has none, n_items 0 and
     overlap 0. Rows of one id (or of the null id) share their verdict. Empty tables give
-    empty or all-clean results; other columns are ignored.
+    empty or all-clean results; other columns are ignored, and the tables' names may clash.
     """
-    found = overlaps(docs, benchmark, id_col, text_col, **options)
-    item_col = found.columns[1]
-    by_doc = found.groupBy(F.col(id_col).alias("found_id")).agg(
-        F.sort_array(F.collect_set(item_col)).alias("item_ids"), F.max("overlap").alias("overlap")
-    )
-    ids = docs.select(F.col(f"`{id_col}`"))
-    out = ids.join(by_doc, ids[id_col].eqNullSafe(by_doc["found_id"]), "left")
+    found = _overlaps(docs, benchmark, id_col, text_col, **options)
+    by_doc = found.groupBy("id").agg(F.sort_array(F.collect_set("item")).alias("item_ids"), F.max("overlap").alias("overlap"))
+    ids = docs.select(F.col(f"`{id_col}`").alias("of"))
+    out = ids.join(by_doc, F.col("of").eqNullSafe(F.col("id")), "left")
     none = F.array().cast(by_doc.schema["item_ids"].dataType)
     return out.select(
-        id_col,
+        F.col("of").alias(id_col),
         F.when(F.col("item_ids").isNull(), 0).otherwise(F.size("item_ids")).cast("bigint").alias("n_items"),
         F.coalesce("item_ids", none).alias("item_ids"),
         F.coalesce("overlap", F.lit(0.0)).alias("overlap"),
@@ -125,14 +131,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that overlap no item, all columns as they were.
+    """The documents that overlap no item, all columns as they were, whatever their names.
 
     Rows are told apart by id and a hash of the text, so clean rows that share an id, or the
     null id, with a contaminated one stay; other edge cases as in :func:`contaminated`.
     """
-    marked = docs.withColumn("_id", F.col(f"`{id_col}`")).withColumn("_hash", F.xxhash64(F.col(f"`{text_col}`")))
-    found = overlaps(marked.withColumn("_key", F.struct("_id", "_hash")), benchmark, "_key", text_col, **options)
-    return without(marked, found.select("_key.*"), ["_id", "_hash"]).drop("_id", "_hash")
+    id_of, of = fresh(docs, "_id"), fresh(docs, "_hash")
+    marked = docs.withColumns({id_of: F.col(f"`{id_col}`"), of: F.xxhash64(F.col(f"`{text_col}`"))})
+    keyed = marked.select(F.struct(F.col(id_of).alias("id"), F.col(of).alias("hash")).alias("key"), F.col(f"`{text_col}`").alias("text"))
+    found = _overlaps(keyed, benchmark, "key", "text", **options)
+    return without(marked, found.select(F.col("id.id").alias(id_of), F.col("id.hash").alias(of)), [id_of, of]).drop(id_of, of)
 
 
 #: The query in SQL: seeds of both masks, distinct windows around hits, and their agreeing words by position.
