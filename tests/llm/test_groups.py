@@ -11,6 +11,8 @@ import corpus_pipeline
 from larkspur.llm import decontaminate, secret_scan, shared, simhash
 from larkspur.llm.catalogue import QUERIES, tokenizer_path
 
+from test_near_copies import brute_kept
+
 
 def brute_fingerprint(text):
     w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
@@ -113,8 +115,8 @@ def test_sized_lookups_agree(spark):
 def test_pipeline_equals_brute_force(spark, sf_dir):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     kept = {i: r.text for i, r in docs.items() if any(c.isalpha() for c in r.text or "")}
-    group = brute_components([(i, brute_fingerprint(t)) for i, t in kept.items()])
-    kept = {i: t for i, t in kept.items() if group[i] == i}
+    near = brute_kept(kept)  # five-word shingles, 0.8 alike: the rule of near-duplicate stages
+    kept = {i: t for i, t in kept.items() if i in near}
     items = [r.text.lower() for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     words = lambda t: " ".join(x for x in __import__("re").split(r"[^\w]+|_", t.lower()) if x)
     items = [words(t) for t in items if len(words(t).split()) >= 8]
