@@ -24,7 +24,10 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--vad-threshold", type=float, default=0.3), c.add_argument("--snr-min", type=float)
     c.add_argument("--min-duration", type=float, default=2.0), c.add_argument("--max-duration", type=float, default=15.0)
     c.add_argument("--segment", action="store_true"), c.add_argument("--enhance"), c.add_argument("--transcribe")
-    c.add_argument("--dedup-threshold", type=int), c.add_argument("--formats", default="ljspeech,f5tts")
+    c.add_argument("--dedup-threshold", type=int), c.add_argument("--formats", "--format", default="ljspeech,f5tts")
+    c.add_argument("--turns", help="Parquet table of speaker turns (doc_id, speaker_id, start, end), in place of a diarization model")
+    c.add_argument("--min-speakers", type=int), c.add_argument("--max-speakers", type=int)
+    c.add_argument("--workers", type=int, help="local worker threads"), c.add_argument("--warn-mb", type=int, help="note files over this size")
     i = sub.add_parser("inspect", help="durations and formats of a folder")
     i.add_argument("source"), i.add_argument("--extensions", default="wav"), i.add_argument("--limit", type=int)
     sub.add_parser("doctor", help="capacity of this machine")
@@ -45,20 +48,25 @@ def main(argv: list[str] | None = None) -> int:
     from larkspur.plans.curate import curate, curate_tts, inspect
     from larkspur.sources import manifests
 
-    spark = SparkSession.builder.appName("larkspur").getOrCreate()
+    builder = SparkSession.builder.appName("larkspur")
+    if getattr(args, "workers", None):
+        builder = builder.master(f"local[{args.workers}]")
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("WARN" if args.verbose else "ERROR")
     if args.command == "curate":
         source = patterns_of(args.source, parse_extensions(args.extensions))
+        reader = {"warn_bytes": args.warn_mb << 20} if args.warn_mb else {}
         if args.tts:
             made = curate_tts(
                 spark, source, args.output, tuple(parse_extensions(args.formats)), args.checkpoint, args.speaker,
                 snr_min=20.0 if args.snr_min is None else args.snr_min, least_seconds=args.min_duration, most_seconds=args.max_duration,
                 segment=args.segment, transcriber=args.transcribe, dedup_threshold=args.dedup_threshold,
+                turns=spark.read.parquet(args.turns) if args.turns else None, min_speakers=args.min_speakers, max_speakers=args.max_speakers, **reader,
             )
         else:
             made = curate(
                 spark, source, args.output, args.checkpoint, __version__, vad_threshold=args.vad_threshold,
-                snr_min=15.0 if args.snr_min is None else args.snr_min, enhancer=args.enhance, segment=args.segment,
+                snr_min=15.0 if args.snr_min is None else args.snr_min, enhancer=args.enhance, segment=args.segment, **reader,
             )
         print(json.dumps(made, indent=2))
     elif args.command == "inspect":

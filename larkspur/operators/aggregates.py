@@ -138,9 +138,9 @@ def check_manifest(manifest: DataFrame, files: DataFrame | None = None, least: i
             raise ValueError(f"the manifest names files that aren't there: {[r.path for r in lost]}")
 
 
-def newest(files: DataFrame) -> DataFrame:
-    """The path modified last, of a binaryFile listing."""
-    return files.agg(F.max_by("path", "modificationTime").alias("path"))
+def newest(files: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The path modified last (of equal times the last path) of a binaryFile listing, for each of the keys if given."""
+    return files.groupBy(*(keys or [])).agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))
 
 
 def best_epoch(metrics: DataFrame) -> DataFrame:

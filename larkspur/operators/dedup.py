@@ -10,6 +10,7 @@ neighbours of kept clips, with a checkpoint each.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import signal as S
 from larkspur.operators.stage import active
-from larkspur.runtime import cut_lineage
+from larkspur.runtime import attach, cut_lineage
 
 
 def block_masks(threshold: int, agree: int = 2, bits: int = 64) -> list[int]:
@@ -46,18 +47,36 @@ def best_agreement(n: int, threshold: int, bits: int = 64, most_keys: int = 2000
     return min(fits or [1], key=cost)
 
 
-def near_pairs(fps: DataFrame, threshold: int = 8, agree: int | None = None) -> DataFrame:
+BUCKET = 1000
+MOST_KEYS = 2000
+
+
+def near_pairs(fps: DataFrame, threshold: int = 8, agree: int | None = None, bucket: int = BUCKET, most_keys: int = MOST_KEYS) -> DataFrame:
     """(a, b) with a < b: distinct values ``fp`` within ``threshold`` bits, complete.
 
     Without ``agree`` the words are counted and the blocking follows their number, so that
-    the candidates of a key stay few as the table grows.
+    the candidates of a key stay few as the table grows. Words of a key that still holds more
+    than ``bucket`` words (real spectra crowd few keys) are blocked again by one block more:
+    both words of a pair in such a key are among them, so none is lost. Blocking ends where
+    more blocks would take over ``most_keys`` keys a word.
     """
-    agree = agree or best_agreement(fps.count(), threshold)
-    masks = F.array(*[F.lit(m).cast("bigint") for m in block_masks(threshold, agree)])
-    keyed = fps.select("fp", F.posexplode(masks).alias("slot", "mask")).select("fp", "slot", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    left, right = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
-    close = (F.col("a") < F.col("b")) & (S.hamming(F.col("a"), F.col("b")) <= threshold)
-    return left.join(right, ["slot", "key"]).where(close).select("a", "b").distinct()
+    agree, found = agree or best_agreement(fps.count(), threshold, most_keys=most_keys), []
+    while True:
+        masks = F.array(*[F.lit(m).cast("bigint") for m in block_masks(threshold, agree)])
+        keyed = fps.select("fp", F.posexplode(masks).alias("slot", "mask")).select("fp", "slot", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+        last = threshold + agree >= 64 or math.comb(threshold + agree + 1, agree + 1) > most_keys
+        full = None
+        if not last:
+            full = cut_lineage(keyed.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("slot", "key"))
+            full = None if full.isEmpty() else full
+        few = keyed if full is None else keyed.join(full, ["slot", "key"], "left_anti")
+        left, right = few.withColumnRenamed("fp", "a"), few.withColumnRenamed("fp", "b")
+        close = (F.col("a") < F.col("b")) & (S.hamming(F.col("a"), F.col("b")) <= threshold)
+        found.append(left.join(right, ["slot", "key"]).where(close).select("a", "b"))
+        if full is None:
+            return reduce(DataFrame.union, found).distinct()
+        fps = cut_lineage(keyed.join(full, ["slot", "key"], "left_semi").select("fp").distinct())
+        agree += 1
 
 
 def greedy_duplicates(clips: DataFrame, threshold: int = 8, order: tuple[str, ...] = ("source_path", "doc_id"), agree: int | None = None) -> DataFrame:
@@ -96,11 +115,12 @@ def greedy_duplicates(clips: DataFrame, threshold: int = 8, order: tuple[str, ..
 def deduplicate(df: DataFrame, threshold: int = 8, order: tuple[str, ...] = ("source_path", "doc_id"), agree: int | None = None) -> DataFrame:
     """Reject near-duplicates among active clips; kept ones get ``audio_fingerprint``.
 
-    The order is global, so the result doesn't depend on partitions.
+    The order is global, so the result doesn't depend on partitions. Only the duplicates' ids
+    come back to the clips, by a counted broadcast.
     """
     live = df.where(active())
-    found = greedy_duplicates(live, threshold, order, agree).withColumnRenamed("duplicate_of", "_of")
-    out = df.join(found, "doc_id", "left")
+    found = greedy_duplicates(live, threshold, order, agree).where("duplicate_of is not null")
+    out = attach(df, found.select(F.col("doc_id").alias("_dup"), F.col("duplicate_of").alias("_of")), F.col("doc_id") == F.col("_dup"))
     dup = active() & F.col("_of").isNotNull()
     out = out.withColumns({
         "duplicate_of": F.when(dup, F.col("_of")).otherwise(F.col("duplicate_of")),
@@ -108,4 +128,4 @@ def deduplicate(df: DataFrame, threshold: int = 8, order: tuple[str, ...] = ("so
         "reject_reason": F.when(dup, F.lit("near_duplicate")).otherwise(F.col("reject_reason")),
         "reject_stage": F.when(dup, F.lit("dedup")).otherwise(F.col("reject_stage")),
     })
-    return out.drop("_of").select(*df.columns)
+    return out.select(*df.columns)

@@ -9,6 +9,7 @@ from larkspur.functions import ids
 from larkspur.functions import signal as S
 from larkspur.operators.filters import with_vad
 from larkspur.operators.stage import Stage, active, fanout_stage
+from larkspur.runtime import attach
 
 
 def segment_speech(frame: int = 512, merged: bool = False, legacy_timestamps: bool = False) -> Stage:
@@ -73,7 +74,7 @@ def speaker_turns(turns: DataFrame, min_speakers: int | None = None, max_speaker
     explode = fanout_stage("diarize", F.col("_turns"), child)
 
     def apply(df: DataFrame) -> DataFrame:
-        joined = df.join(by, F.when(active(), F.col("doc_id")) == F.col("_id"), "left").drop("_id", "_n")
+        joined = attach(df, by, F.when(active(), F.col("doc_id")) == F.col("_id")).drop("_id", "_n")
         return explode(joined).drop("_turns")
 
     return Stage("diarize", "fanout", apply)

@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from larkspur.functions import kernels as K
 from larkspur.operators.stage import annotate
 from larkspur.providers import get_provider
+from larkspur.runtime import attach
 
 
 def _per_clip(df: DataFrame, stage: str, run_one: Callable[[dict, np.ndarray], np.ndarray]) -> DataFrame:
@@ -54,7 +55,7 @@ def transcribe(df: DataFrame, provider: str = "table") -> DataFrame:
 def attach_transcripts(df: DataFrame, texts: DataFrame, backend: str = "table") -> DataFrame:
     """Set ``transcription`` from a table (doc_id, text), one text an id; without one it is empty."""
     found = texts.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    out = df.join(found, F.col("doc_id") == F.col("_id"), "left")
+    out = attach(df, found, F.col("doc_id") == F.col("_id"))
     out = annotate(out, {"transcription": F.trim(F.coalesce("_text", F.lit(""))), "transcription_backend": F.lit(backend)})
     return out.drop("_id", "_text")
 

@@ -6,6 +6,7 @@ and 64-number embeddings. Doubles that reach a result are rounded to six digits.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,10 +18,11 @@ from larkspur.operators import aggregates as A
 from larkspur.operators import dedup, fanout, filters
 from larkspur.operators.analyze import Analysis, analyze
 from larkspur.operators.stage import active, reject, run_stages, run_stats
+from larkspur.plans.checkpoint import Checkpoint
 from larkspur.plans.curate import column_stages, status
-from larkspur.runtime import table
+from larkspur.runtime import checkpoint_folder, table
 from larkspur.schema import conform
-from larkspur.sources import manifests, waveforms
+from larkspur.sources import audio, manifests, waveforms
 
 FRAME = RATE = 8
 THRESHOLD = 20
@@ -129,10 +131,10 @@ def noise_gaps(spark, sf_dir):
     return A.interval_gaps(union, ["conv_id"]).select("conv_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
 
 
-@query(f"WITH {SPANS_SQL}, f AS (SELECT conv_id, unnest(range(0, 200)) AS pos FROM (SELECT DISTINCT conv_id FROM s)) SELECT f.conv_id, count(DISTINCT pos) AS n_inside FROM f JOIN s ON f.conv_id = s.conv_id AND pos >= a AND pos < b GROUP BY f.conv_id")
+@query(f"WITH {SPANS_SQL}, f AS (SELECT conv_id, unnest(range(0, m)) AS pos FROM (SELECT conv_id, max(b) AS m FROM s GROUP BY conv_id)) SELECT f.conv_id, count(DISTINCT pos) AS n_inside FROM f JOIN s ON f.conv_id = s.conv_id AND pos >= a AND pos < b GROUP BY f.conv_id")
 def samples_in_intervals(spark, sf_dir):
     spans = turn_spans(spark, sf_dir)
-    frames = spans.select("conv_id").distinct().select("conv_id", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("at"))
+    frames = spans.groupBy("conv_id").agg(F.max("end").alias("n")).where("n > 0").select("conv_id", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("at"))
     return A.samples_in_intervals(frames, spans, ["conv_id"], 16).groupBy("conv_id").agg(F.count_distinct("at").alias("n_inside"))
 
 
@@ -277,7 +279,7 @@ def f5_manifest(spark, sf_dir):
 
 @query("""SELECT '{"doc_id":' || doc_id || ',"source_path":"in/' || source || '/f' || (doc_id % 97) || '.' || lang || '","sample_rate":16000,"duration_seconds":' || CAST(round(n_chars / 100.0, 4) AS DOUBLE) ||
 ',"metadata":{' || concat_ws(',', CASE WHEN doc_id % 3 = 0 THEN '"parent_doc_id":"' || source || '"' END, CASE WHEN doc_id % 2 = 0 THEN '"speaker_id":"' || lang || '"' END) || '},"pipeline_version":"0.1.0","processed_at":"2026-01-01T00:00:00+00:00"}' AS value
-FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL AND n_chars < 100000""")
+FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL""")
 def jsonl_manifest(spark, sf_dir):
     rows = doc_clips(spark, sf_dir).drop("transcription").withColumn("sample_rate", F.lit(16_000))
     return manifests.jsonl_rows(rows, "0.1.0", F.lit("2026-01-01T00:00:00+00:00"))
@@ -305,29 +307,34 @@ def manifest_strict(spark, sf_dir):
     return manifests.parse_strict(manifest_lines(spark, sf_dir))
 
 
-@query(f"WITH {LINES_SQL} SELECT pos AS at, trim(t) AS text, printf('kokoro_%06d.wav', pos) AS wav FROM l WHERE pos < 500 AND pos % 11 <> 0 AND pos % 5 <> 0 AND trim(t) <> ''")
+@query(f"WITH {LINES_SQL} SELECT pos AS at, trim(t) AS text, printf('kokoro_%06d.wav', pos) AS wav FROM l WHERE pos % 11 <> 0 AND pos % 5 <> 0 AND trim(t) <> ''")
 def manifest_augment(spark, sf_dir):
-    return manifests.parse_for_augmentation(manifest_lines(spark, sf_dir), limit=500)
+    return manifests.parse_for_augmentation(manifest_lines(spark, sf_dir))
 
 
 @query("SELECT doc_id, n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def checkpoint_resume(spark, sf_dir):
-    done = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_done")).distinct()
-    docs = table(spark, sf_dir, "documents")
-    return docs.join(done, docs.doc_id == F.col("_done"), "left_anti").select("doc_id", "n_chars")
+    store = Checkpoint(spark, f"{checkpoint_folder(spark)}/resume-{uuid.uuid4().hex}")
+    store.commit(table(spark, sf_dir, "labels").where("doc_id is not null"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.col("doc_id").cast("string").alias("name"))
+    return store.remaining(docs, "name").select("doc_id", "n_chars")
 
 
-@query("SELECT min(doc_id) AS doc_id, sha256(text)[1:16] AS text_id FROM documents WHERE text IS NOT NULL GROUP BY text")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 0 WHEN doc_id % 5 = 0 THEN 1 ELSE 2 END AS pattern FROM documents")
 def path_dedup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text is not null")
-    both = docs.where("doc_id % 2 = 0").unionByName(docs.where("doc_id % 2 <> 0")).unionByName(docs.where("doc_id % 5 = 0"))
-    return both.groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", ids.short_hash(F.col("text")).alias("text_id"))
+    """Paths that several patterns match, each by its first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"))
+    found = [docs.where(c).withColumn("_pattern", F.lit(i)) for i, c in enumerate(("doc_id % 2 = 0", "doc_id % 5 = 0", "doc_id is not null"))]
+    rows = audio.first_match(found[0].unionByName(found[1]).unionByName(found[2]))
+    return rows.select("doc_id", F.col("_pattern").alias("pattern"))
 
 
 @query("SELECT d.doc_id, l.quality AS decoded, l.quality IS NULL AS lazily FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)")
 def decoded_lookup(spark, sf_dir):
-    found = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("decoded"))
-    return table(spark, sf_dir, "documents").select("doc_id").join(found, "doc_id", "left").select("doc_id", "decoded", F.col("decoded").isNull().alias("lazily"))
+    found = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("source_path")).agg(F.max("quality").alias("sample_rate"))
+    entries = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"))
+    rows = audio.mark_missing(entries, found.withColumn("audio", F.array().cast("array<float>")))
+    return rows.select(F.col("path").alias("doc_id"), F.col("sample_rate").alias("decoded"), F.col("sample_rate").isNull().alias("lazily"))
 
 
 @query(f"""WITH {CLIPS_U}, q AS (SELECT k, len(a) / 8.0 AS s, list_max(list_transform(a, lambda v: abs(CAST(v AS DOUBLE)))) AS p, len(list_filter(a, lambda v: abs(CAST(v AS DOUBLE)) > 1e-4)) < 0.01 * len(a) AS z FROM u)
@@ -400,7 +407,8 @@ def epoch_loss(spark, sf_dir):
 @query("SELECT CAST(user_id % 10 AS BIGINT) AS shard, arg_max(event_id, ts) AS newest FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 10, ts ORDER BY event_id DESC) AS r FROM events WHERE user_id IS NOT NULL) WHERE r = 1 GROUP BY 1")
 def newest_checkpoint(spark, sf_dir):
     rows = table(spark, sf_dir, "events").where("user_id is not null")
-    return rows.groupBy((F.col("user_id") % 10).cast("bigint").alias("shard")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("newest"))
+    rows = rows.select((F.col("user_id") % 10).cast("bigint").alias("shard"), F.col("event_id").alias("path"), F.col("ts").alias("modificationTime"))
+    return A.newest(rows, ["shard"]).withColumnRenamed("path", "newest")
 
 
 @query("SELECT doc_id, n_chars >= 500 AND lang = 'en' AS keep FROM documents")

@@ -6,8 +6,10 @@ import os
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+ATTACH_ROWS = 1_000_000
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -44,6 +46,15 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
+def attach(df: DataFrame, narrow: DataFrame, on: Column, how: str = "left", limit: int = ATTACH_ROWS) -> DataFrame:
+    """``df``, whose rows hold audio, joined with a narrow table: counted first, and broadcast up to ``limit`` rows.
+
+    So wide rows stay where they are; only beyond the bound do both sides shuffle.
+    """
+    narrow = cut_lineage(narrow)
+    return df.join(F.broadcast(narrow) if narrow.count() <= limit else narrow, on, how)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there from now on."""
     checkpoint_folder(df.sparkSession)

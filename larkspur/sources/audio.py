@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from larkspur.functions import ids
 from larkspur.functions import kernels as K
 from larkspur.operators.filters import reader_bounds
-from larkspur.runtime import ensure_workers_see_package
+from larkspur.runtime import attach, ensure_workers_see_package
 from larkspur.schema import conform
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
-DECODERS: dict[str, Callable[[bytes], tuple]] = {"wav": K.decode_wav, "wave": K.decode_wav}
+
+
+def decode_by_library(data: bytes) -> tuple:
+    """(mono samples, rate) by the soundfile library, where workers have it; without it such files are rejected by name."""
+    import soundfile
+
+    samples, rate = soundfile.read(io.BytesIO(data), dtype="float32", always_2d=True)
+    return samples.mean(axis=1), rate
+
+
+DECODERS: dict[str, Callable[[bytes], tuple]] = {"wav": K.decode_wav, "wave": K.decode_wav, "flac": decode_by_library, "ogg": decode_by_library, "mp3": decode_by_library}
 
 
 def parse_extensions(text: str) -> list[str]:
@@ -39,20 +49,27 @@ def audio_files(spark: SparkSession, patterns: str | Sequence[str], recursive: b
     A pattern without a match adds nothing. Extensions filter in any letter case; none means all.
     ``path`` is the plain path; contents of files that a later filter drops aren't read.
     """
-    found = spark.createDataFrame([], FILES)
-    for pattern in [patterns] if isinstance(patterns, str) else patterns:
+    found = spark.createDataFrame([], f"{FILES}, _pattern int")
+    for number, pattern in enumerate([patterns] if isinstance(patterns, str) else patterns):
         try:
             part = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(pattern)
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             continue
-        found = found.unionByName(part)
+        found = found.unionByName(part.withColumn("_pattern", F.lit(number)))
     found = found.withColumn("path", ids.plain_path(F.col("path")))
     if extensions:
         found = found.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin([e.lower().lstrip(".") for e in extensions]))
     several = not isinstance(patterns, str) and len(patterns) > 1
-    return found.dropDuplicates(["path"]) if several else found
+    return (first_match(found) if several else found).drop("_pattern")
+
+
+def first_match(found: DataFrame) -> DataFrame:
+    """Rows (path, _pattern) of each path's first pattern; only the paths of several patterns are gathered, without contents."""
+    many = found.groupBy("path").agg(F.min("_pattern").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    out = attach(found, many.select(F.col("path").alias("_path"), "_first"), F.col("path") == F.col("_path"))
+    return out.where(F.col("_first").isNull() | (F.col("_pattern") == F.col("_first"))).drop("_path", "_first")
 
 
 def list_audio(spark: SparkSession, patterns: str | Sequence[str], extensions: Sequence[str] = (), recursive: bool = True) -> DataFrame:
@@ -93,7 +110,7 @@ def decode(files: DataFrame, rate: int = 16_000, resampler: str = "linear", deco
     }).drop("error_text")
     if warn_bytes:
         sizes = files.select(F.col("path").alias("_path"), "length").where(F.col("length") > warn_bytes)
-        out = out.join(sizes, F.col("source_path") == F.col("_path"), "left")
+        out = attach(out, sizes, F.col("source_path") == F.col("_path"))
         out = out.withColumn("extra", F.when(F.col("length").isNotNull(), F.create_map(F.lit("large_file"), F.col("length").cast("string"))).otherwise(F.col("extra"))).drop("_path", "length")
     return out
 
@@ -101,21 +118,22 @@ def decode(files: DataFrame, rate: int = 16_000, resampler: str = "linear", deco
 def clips(
     spark: SparkSession, patterns: str | Sequence[str], rate: int = 16_000, least_seconds: float = 0.5, most_seconds: float | None = None,
     recursive: bool = False, extensions: Sequence[str] = (), resampler: str = "linear", done: DataFrame | None = None, parallelism: int | None = None,
+    decoders: dict[str, Callable[[bytes], tuple]] | None = None, warn_bytes: int | None = None,
 ) -> DataFrame:
-    """Clip rows of audio files; ``done`` (doc_id) are left out before anything is decoded."""
+    """Clip rows of audio files; ``done`` (doc_id) are left out before anything is read.
+
+    ``decoders`` adds to ``DECODERS``: by extension, from a file's bytes to (mono samples, rate).
+    """
     ensure_workers_see_package(spark)
     files = audio_files(spark, patterns, recursive, extensions)
     if done is not None:
-        files = files.join(done.select(F.col("doc_id").alias("_done")), ids.source_id(F.col("path")) == F.col("_done"), "left_anti")
+        files = attach(files, done.select(F.col("doc_id").alias("_done")), ids.source_id(F.col("path")) == F.col("_done"), "left_anti")
     if parallelism:
         files = files.repartition(parallelism)
-    return reader_bounds(decode(files, rate, resampler), least_seconds, most_seconds)
+    return reader_bounds(decode(files, rate, resampler, decoders, warn_bytes), least_seconds, most_seconds)
 
 
 def mark_missing(entries: DataFrame, decoded: DataFrame) -> DataFrame:
     """Manifest entries (path) with their decoded clips; entries without one keep null audio, to be decoded later."""
     return entries.join(decoded.select(F.col("source_path").alias("path"), "audio", "sample_rate"), "path", "left")
 
-
-def read_schema(df: DataFrame) -> pa.Schema:
-    return to_arrow_schema(df.schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from larkspur.functions import kernels as K
 from larkspur.operators.aggregates import numbered
 from larkspur.operators.stage import active
 from larkspur.providers import get_provider
-from larkspur.runtime import ensure_workers_see_package
+from larkspur.runtime import attach, cut_lineage, ensure_workers_see_package
 
 FORMATS = ("ljspeech", "f5tts")
 
@@ -62,14 +63,16 @@ def one_line(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s|]+", " "))
 
 
-def output_name(clips: DataFrame) -> DataFrame:
-    """``wav``: the source's stem, with the clip's id for children and for stems that occur twice."""
+def output_name(clips: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """``wav``: the source's stem, with the clip's id for children and for stems that occur twice or are ``taken`` (wav)."""
     stem = F.regexp_extract("source_path", r"([^/]*?)(?:\.[^./]*)?$", 1)
     named = clips.withColumn("_stem", stem)
-    twice = named.where("parent_doc_id is null").groupBy("_stem").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    out = named.join(twice, "_stem", "left")
+    twice = named.where("parent_doc_id is null").groupBy("_stem").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("_stem").alias("_twice"))
+    if taken is not None:
+        twice = twice.union(taken.select(F.regexp_replace("wav", r"\.wav$", ""))).distinct()
+    out = attach(named, twice, F.col("_stem") == F.col("_twice"))
     full = F.concat("_stem", F.lit("_"), "doc_id", F.lit(".wav"))
-    return out.withColumn("wav", F.when(F.col("parent_doc_id").isNotNull() | F.col("_n").isNotNull(), full).otherwise(F.concat("_stem", F.lit(".wav")))).drop("_stem", "_n")
+    return out.withColumn("wav", F.when(F.col("parent_doc_id").isNotNull() | F.col("_twice").isNotNull(), full).otherwise(F.concat("_stem", F.lit(".wav")))).drop("_stem", "_twice")
 
 
 def ljspeech_rows(clips: DataFrame, speaker: str = "speaker_00") -> DataFrame:
@@ -101,8 +104,35 @@ def training_rows(manifest: DataFrame) -> DataFrame:
     return manifest.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "text")
 
 
-def append_jsonl(clips: DataFrame, path: str, version: str) -> None:
-    jsonl_rows(clips, version).write.mode("append").text(path)
+def write_training(manifest: DataFrame, path: str) -> None:
+    """The two-column training list of a manifest as one file, sorted by path."""
+    rows = training_rows(manifest.orderBy("path"))
+    single_file(rows.select(F.concat_ws("|", "name", one_line(F.col("text"))).alias("value")), path)
+
+
+def stage_jsonl(clips: DataFrame, path: str, version: str, run_id: str) -> None:
+    """Write a run's JSON lines beside those of earlier runs, out of readers' sight until ``publish_jsonl``."""
+    jsonl_rows(clips, version).write.mode("overwrite").text(f"{path}/_runs/{run_id}")
+
+
+def publish_jsonl(spark: SparkSession, path: str, committed: DataFrame) -> None:
+    """Show the staged lines of committed runs (run_id) and delete those of runs that never were committed.
+
+    A file's name holds its run and part, so doing this again after a crash changes nothing.
+    """
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/_runs")
+    fs = at.getFileSystem(conf)
+    if not fs.exists(at):
+        return
+    staged = [s.getPath() for s in fs.listStatus(at)]
+    known = {r.run_id for r in committed.where(F.col("run_id").isin([p.getName() for p in staged])).select("run_id").distinct().collect()}
+    for run in staged:
+        if run.getName() in known:
+            for part in (s.getPath() for s in fs.listStatus(run)):
+                if part.getName().startswith("part-"):
+                    fs.rename(part, jvm.org.apache.hadoop.fs.Path(f"{path}/part-{run.getName()}-{part.getName()[5:10]}.txt"))
+        fs.delete(run, True)
 
 
 def single_file(rows: DataFrame, path: str) -> None:
@@ -158,17 +188,62 @@ def write_wavs(clips: DataFrame, folder: str) -> DataFrame:
     return clips.where(F.col("audio").isNotNull()).select("doc_id", "wav", "sample_rate", "audio").mapInArrow(run, "doc_id string, wav string, n_bytes bigint")
 
 
+RUN_COLUMNS = ("doc_id", "source_path", "segment_start_sample", "segment_start", "wav", "speaker_id", "transcription", "duration_seconds")
+
+
+def exported(spark: SparkSession, folder: str, committed: DataFrame | None = None) -> DataFrame:
+    """Manifest rows of the runs that were exported to a folder: each clip's newest, of committed runs (run_id) or of all."""
+    ddl = "doc_id string, source_path string, segment_start_sample int, segment_start double, wav string, speaker_id string, transcription string, duration_seconds double, at timestamp, run_id string"
+    try:
+        rows = spark.read.schema(ddl).parquet(f"{folder}/_runs")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        rows = spark.createDataFrame([], ddl)
+    if committed is not None:
+        rows = rows.join(committed.select("run_id").distinct(), "run_id", "left_semi")
+    by = rows.groupBy("doc_id").agg(F.max_by(F.struct(*rows.columns), F.struct("at", "run_id")).alias("r"))
+    return by.select("r.*")
+
+
+def export_run(clips: DataFrame, folder: str, run_id: str, taken: DataFrame | None = None) -> dict:
+    """WAV files of kept clips, and their manifest rows as the part of one run; {kept, total_duration_seconds}.
+
+    Nothing of earlier runs is touched: names that are ``taken`` (wav) get the clip's id. The
+    rows count once the run is committed, see :func:`compose`.
+    """
+    kept = output_name(clips.where(active()), taken)
+    write_wavs(kept, folder).agg(F.count(F.lit(1))).collect()
+    rows = kept.select(*RUN_COLUMNS).withColumns({"at": F.current_timestamp(), "run_id": F.lit(run_id)})
+    rows.write.mode("overwrite").parquet(f"{folder}/_runs/part={run_id}")
+    mine = clips.sparkSession.read.parquet(f"{folder}/_runs/part={run_id}")
+    total = mine.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("duration_seconds"), F.lit(0.0)).alias("s")).first()
+    return {"kept": total.n, "total_duration_seconds": round(total.s, 4)}
+
+
+def check_formats(formats: tuple[str, ...]) -> None:
+    if unknown := set(formats) - set(FORMATS):
+        raise ValueError(f"unknown export formats: {sorted(unknown)}")
+
+
 def export_tts(clips: DataFrame, folder: str, formats: tuple[str, ...] = FORMATS, speaker: str = "speaker_00") -> dict:
     """WAV files and manifests of kept clips; {kept, total_duration_seconds, output_files}.
 
     ``clips`` should be persisted: it is read for the files and again, without audio, for the
-    manifests. Unknown formats are a ValueError. Manifests are sorted by source and place.
+    manifests. Unknown formats are a ValueError. A folder's manifests hold all that was ever
+    exported to it; a clip that comes again replaces its line.
     """
-    if unknown := set(formats) - set(FORMATS):
-        raise ValueError(f"unknown export formats: {sorted(unknown)}")
-    kept = output_name(clips.where(active()))
-    write_wavs(kept, folder).agg(F.count(F.lit(1))).collect()
-    lines = kept.drop("audio").orderBy("source_path", "segment_start_sample", "segment_start", "doc_id")
+    check_formats(formats)
+    spark = clips.sparkSession
+    taken = exported(spark, folder).join(clips.select("doc_id").distinct(), "doc_id", "left_anti")
+    made = export_run(clips, folder, uuid.uuid4().hex, taken)
+    return made | {"output_files": compose(exported(spark, folder), folder, formats, speaker)}
+
+
+def compose(rows: DataFrame, folder: str, formats: tuple[str, ...] = FORMATS, speaker: str = "speaker_00") -> list[str]:
+    """The folder's manifests from rows of :func:`exported`, sorted by source and place; their paths."""
+    check_formats(formats)
+    lines = cut_lineage(rows).orderBy("source_path", "segment_start_sample", "segment_start", "doc_id")
     files = []
     if "ljspeech" in formats:
         single_file(ljspeech_rows(lines, speaker), f"{folder}/metadata.csv")
@@ -176,13 +251,11 @@ def export_tts(clips: DataFrame, folder: str, formats: tuple[str, ...] = FORMATS
     if "f5tts" in formats:
         single_file(f5_rows(lines, f"{folder}/"), f"{folder}/filelist.txt")
         files.append(f"{folder}/filelist.txt")
-    total = kept.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("duration_seconds"), F.lit(0.0)).alias("s")).first()
-    return {"kept": total.n, "total_duration_seconds": round(total.s, 4), "output_files": files}
+    return files
 
 
 def synthesize(rows: DataFrame, folder: str, voice: str = "default", provider: str = "tone") -> DataFrame:
     """Synthetic clips of (at, text, wav) rows, written as WAV files; (doc_id, wav, n_bytes)."""
-    from larkspur.runtime import cut_lineage
 
     def run(batches):
         import pyarrow as pa

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,5 +50,3 @@ def first_of_id(clips: DataFrame, time_col: str, late: str = "1 hour") -> DataFr
     """Drop repeats of a clip's id that arrive within the watermark."""
     return clips.withWatermark(time_col, late).dropDuplicatesWithinWatermark(["doc_id"])
 
-
-Sink = Callable[[DataFrame, int], None]

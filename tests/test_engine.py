@@ -187,6 +187,111 @@ def test_curate_for_speech_with_resume(spark, folder, tmp_path):
         manifests.export_tts(frame(spark, []), out, ("mp3",))
 
 
+def names(path):
+    return [x.split("|")[0] for x in open(path).read().splitlines()]
+
+
+def test_later_runs_add_to_the_manifests(spark, tmp_path):
+    """Two runs into one folder, a crash before the commit, and the same stem from another folder."""
+    out, mark, into = str(tmp_path / "out"), str(tmp_path / "mark"), tmp_path / "in"
+    (into / "deep").mkdir(parents=True)
+    options = {"checkpoint": mark, "snr_min": 5.0, "least_seconds": 1.5}
+    (into / "a.wav").write_bytes(K.encode_wav(speech(6, 1), RATE))
+    assert curate_tts(spark, f"{into}/*.wav", out, **options)["kept"] == 1
+    (into / "b.wav").write_bytes(K.encode_wav(speech(6, 2), RATE))
+    (into / "deep/a.wav").write_bytes(K.encode_wav(speech(5, 3), RATE))
+
+    def crash(*_):
+        raise RuntimeError("lost before the commit")
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(Checkpoint, "commit", crash)
+        with pytest.raises(RuntimeError):
+            curate_tts(spark, f"{into}/*.wav", out, **options)
+    assert names(f"{out}/metadata.csv") == ["a.wav"]
+    made = curate_tts(spark, [f"{into}/*.wav", f"{into}/deep/*.wav"], out, **options)
+    lines = names(made["output_files"][0])
+    assert made["kept"] == 2 and len(lines) == 3 and {"a.wav", "b.wav"} < set(lines)
+    assert len({x for x in lines if x.startswith("a_")}) == 1 and all(os.path.exists(f"{out}/{x}") for x in lines)
+    assert curate_tts(spark, f"{into}/*.wav", out, **options)["kept"] == 0 and names(f"{out}/metadata.csv") == lines
+
+
+def test_json_lines_come_once(spark, tmp_path):
+    out, mark, into = tmp_path / "m", str(tmp_path / "mark"), tmp_path / "in"
+    into.mkdir()
+    (into / "a.wav").write_bytes(K.encode_wav(speech(6, 1), RATE))
+    options = {"checkpoint": mark, "vad_threshold": 0.1, "snr_min": 5.0}
+
+    def crash(*_):
+        raise RuntimeError("lost")
+
+    for at in ("commit", None):
+        with pytest.MonkeyPatch.context() as m:
+            if at:
+                m.setattr(Checkpoint, at, crash)
+                with pytest.raises(RuntimeError):
+                    curate(spark, f"{into}/*.wav", str(out), **options)
+            else:
+                curate(spark, f"{into}/*.wav", str(out), **options)
+    (into / "b.wav").write_bytes(K.encode_wav(speech(6, 2), RATE))
+    with pytest.MonkeyPatch.context() as m:
+        shown = manifests.publish_jsonl
+        m.setattr(manifests, "publish_jsonl", lambda s, p, c: shown(s, p, c.where("false")) if c.count() < 2 else crash())
+        with pytest.raises(RuntimeError):
+            curate(spark, f"{into}/*.wav", str(out), **options)
+    curate(spark, f"{into}/*.wav", str(out), **options)
+    lines = [json.loads(x)["source_path"] for p in out.glob("part-*") for x in p.read_text().splitlines()]
+    assert sorted(map(os.path.basename, lines)) == ["a.wav", "b.wav"]
+
+
+def test_crowded_keys_lose_no_pair(spark):
+    r = np.random.default_rng(7)
+    words = {int(x) for x in r.integers(0, 1 << 20, 400)} | {int(x) << 30 for x in r.integers(0, 1 << 20, 50)}
+    df = spark.createDataFrame([(w,) for w in words], "fp long")
+    want = {(a, b) for a in words for b in words if a < b and (a ^ b).bit_count() <= 4}
+    for bucket in (10, 60):
+        assert {(x.a, x.b) for x in dedup.near_pairs(df, 4, 1, bucket).collect()} == want
+
+
+def test_audio_stays_where_it_is(spark):
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = frame(spark, [speech(2, 1), speech(2, 1), speech(2, 2)]).withColumn("fingerprint", F.xxhash64("n_samples"))
+        turns = spark.createDataFrame([("d0", "S1", 0.0, 1.0)], "doc_id string, speaker_id string, start double, end double")
+        texts = spark.createDataFrame([("d0", "hi")], "doc_id string, text string")
+        for made in (dedup.deduplicate(df), fanout.speaker_turns(turns)(df), models.attach_transcripts(df, texts), manifests.output_name(df)):
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+
+
+def test_decoders_and_notes(spark, folder, tmp_path):
+    (tmp_path / "x.raw").write_bytes(b"\0\0" * 16_000)
+    (tmp_path / "x.flac").write_bytes(b"fLaC")
+    rows = {r.source_path.rpartition(".")[2]: r for r in sources.clips(spark, f"{tmp_path}/x.*", decoders={"raw": lambda b: (K.from_pcm16(b), RATE)}, warn_bytes=1000).collect()}
+    assert rows["raw"].duration_seconds == 1.0 and rows["raw"].extra == {"large_file": "32000"} and rows["flac"].reject_stage == "reader"
+    manifests.write_training(spark.createDataFrame([("d/b.wav", "two"), ("d/a.wav", "one")], "path string, text string"), str(tmp_path / "train.csv"))
+    assert (tmp_path / "train.csv").read_text() == "a.wav|one\nb.wav|two\n"
+
+
+def test_no_local_checkpoint_folder_on_a_cluster():
+    from larkspur import runtime
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        runtime.checkpoint_folder(Session)
+
+
 def test_generic_curation_and_inspection(spark, folder, tmp_path):
     stats = curate(spark, f"{folder}/*.wav", str(tmp_path / "m"), vad_threshold=0.1, snr_min=5.0, enhancer="identity")
     lines = [json.loads(x) for p in sorted((tmp_path / "m").glob("part-*")) for x in p.read_text().splitlines()]
