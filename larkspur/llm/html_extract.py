@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import map_texts
 from larkspur.llm.language_id import host_of
-from larkspur.llm.shared import look_up
+from larkspur.llm.shared import cut_lineage, look_up
 
 LEAST_SHARE = 0.05
 DEEPER = 0.8
 TAG = re.compile(r"""<!--|<!\[CDATA\[|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:\-]*)((?:"[^"]*"|'[^']*'|[^'"<>])*+)>?""")
-ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-HIDDEN = re.compile(r"""(?i)(?:^|\s)hidden(?=[\s/=]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none""")
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+UNSEEN = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 RAW = frozenset("script style template noscript textarea title iframe xmp noembed noframes".split())
@@ -50,7 +50,7 @@ CLOSES = {
     "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"}),
 }
 SCOPES = frozenset("table td th button object body html article section main aside nav header footer div li".split())
-ASIDE = frozenset("nav footer aside form button select svg dialog menu search object video audio canvas math head fieldset optgroup option legend".split())
+ASIDE = frozenset("nav footer aside form button select svg dialog menu search object video audio canvas math head optgroup option".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
 NEVER = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion comment comments commentlist reply replies respond "
@@ -58,6 +58,7 @@ NEVER = frozenset(
     "breadcrumb breadcrumbs pagination pager popup modal overlay paywall".split()
 )
 RARELY = frozenset("sidebar side menu nav navbar navigation footer foot header masthead topbar banner notice notices alert widget widgets toolbar skip tags meta byline aside".split())
+PARTS = frozenset("area bar block box button buttons container content form inner item items links list nav notice panel region section slot unit widget wrap wrapper zone".split())
 GOOD = frozenset("article content main post entry story body text page blog prose document".split())
 
 
@@ -75,20 +76,21 @@ def _key(above: int, step: str) -> int:
     return xxhash.xxh64_intdigest(step.encode("utf-8", "surrogatepass"), above)
 
 
-def _attributes(raw: str) -> tuple[set[str], str, str]:
-    """(words of class and id, role, generalised class names)."""
-    words: set[str] = set()
-    role, shown = "", ""
+def _attributes(raw: str) -> tuple[list[list[str]], str, str, bool]:
+    """(words of each class name and of the id, role, generalised class names, whether it is hidden); a name counts once."""
+    named: dict[str, str] = {}
     for name, a, b, c in ATTRIBUTE.findall(raw):
-        value = a or b or c
-        if name.lower() == "role":
-            role = value.lower().strip()
-            continue
-        words |= {w.lower() for w in WORDS.findall(value)}
-        if name.lower() == "class":
-            names = re.sub(r"\d+", "#", re.sub(r"[\x00-\x20>]", " ", value.lower())).split()
-            shown = "." + ".".join(sorted(set(names)))
-    return words, role, shown
+        named.setdefault(name.lower(), a or b or c)
+    tokens = [[w.lower() for w in WORDS.findall(x)] for x in (*named.get("class", "").split(), *named.get("id", "").split())]
+    names = re.sub(r"\d+", "#", re.sub(r"[\x00-\x20>]", " ", named.get("class", "").lower())).split()
+    shown = "." + ".".join(sorted(set(names))) if "class" in named else ""
+    hidden = "hidden" in named or named.get("aria-hidden", "").lower() == "true" or bool(UNSEEN.search(named.get("style", "")))
+    return tokens, named.get("role", "").lower().strip(), shown, hidden
+
+
+def _says(tokens: list[list[str]], words: frozenset[str]) -> bool:
+    """Whether a class name or id is one of the words, or ends with one that its first word qualifies (``site-footer``)."""
+    return any(t and (t[-1] in words and len(t) <= 2 or len(t) == 2 and t[0] in words and t[1] in PARTS or len(t) == 1 and t[0] in words) for t in tokens)
 
 
 class Page:
@@ -169,10 +171,11 @@ class Page:
             self._cut(len(self._stack) - 1)
         self._anchor = 0 if tag != "li" else self._anchor
         above = self.nodes[self._stack[-1]]
-        words, role, shown = _attributes(raw) if raw else (set(), "", "")
-        good = tag in ("article", "main") or bool(words & GOOD) or role in ("main", "article")
-        out = above.out or tag in ASIDE or role in ROLES or bool(words & NEVER) or bool(HIDDEN.search(raw)) if raw else above.out or tag in ASIDE
-        out = out or (bool(words & RARELY) and not words & GOOD and tag not in ("body", "html", "main", "article")) or (tag == "header" and not above.inside)
+        tokens, role, shown, hidden = _attributes(raw) if raw else ([], "", "", False)
+        said = {w for t in tokens for w in t}
+        good = tag in ("article", "main") or bool(said & GOOD) or role in ("main", "article")
+        out = above.out or tag in ASIDE or role in ROLES or hidden or _says(tokens, NEVER)
+        out = out or (_says(tokens, RARELY) and not said & GOOD and tag not in ("body", "html", "main", "article")) or (tag == "header" and not above.inside)
         if tag in ("html", "body"):
             out = False
         step = tag + shown
@@ -276,7 +279,11 @@ def extract_page(text: str | None, paths: list[str] | None) -> str:
 
 
 def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, paths array<string>): the paths of each host's votes, most voted first."""
+    """(host, paths array<string>): the paths of each host's votes, most voted first.
+
+    Pages without text have no vote; null and malformed addresses share the empty host; an
+    empty table has no hosts.
+    """
     hosts = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").alias("t"))
 
     def kernel():
@@ -287,7 +294,8 @@ def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html"
         return apply
 
     votes = map_texts(hosts, ["host"], "t", kernel, [("path", "string"), ("score", "double")]).where("path is not null")
-    votes = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score")).alias("score"))
+    # Written once: the votes of paths are read for each host's pages and again for its winners.
+    votes = cut_lineage(votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score")).alias("score")))
     whole = votes.groupBy("host").agg(F.sum("n").alias("pages"))
     votes = votes.join(whole, "host").where(F.col("n") >= least_share * F.col("pages"))
     ranked = F.reverse(F.array_sort(F.collect_list(F.struct("n", "score", "path"))))

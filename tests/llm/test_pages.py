@@ -161,3 +161,57 @@ def test_packages_roll(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([(i, "p%d" % i) for i in range(10)], "page_id long, html string").coalesce(1)
     manifest = W.write_archives(df, str(tmp_path / "r"), url_col=None)
     assert sum(r.n_records for r in manifest.collect()) == 10 and W.read_archives(manifest).count() == 10
+
+
+def test_nothing_inside_an_article_is_lost():
+    lost = "<p>{}</p>".format
+    page = (
+        "<html><body><nav>menu</nav><article class='post'>" + lost("one " * 30) + "<div class='side-by-side'>" + lost("two " * 20) + "</div><div class='meta-analysis'>"
+        + lost("three " * 20) + "</div><p data-x='a hidden thing'>four</p><fieldset><p>five</p></fieldset><div class='comments'>" + lost("spam") + "</div>"
+        "<p hidden>six</p><p style='color:red; display: none'>seven</p></article><div class='site-footer'>foot</div></body></html>"
+    )
+    text = H.extract_page(page, None)
+    assert [w for w in ("one", "two", "three", "four", "five") if w not in text.split()] == []
+    assert not {"menu", "spam", "six", "seven", "foot"} & set(text.split())
+
+
+def test_foreign_records_and_members(tmp_path):
+    import base64
+    import gzip
+    import hashlib
+    import zipfile
+
+    def made(kind, block, *more, mime="application/http; msgtype=response"):
+        head = "".join(f"{k}: {v}\r\n" for k, v in (("WARC-Type", kind), ("Content-Type", mime), ("Content-Length", len(block)), *more))
+        return b"WARC/1.0\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    body = b"<p>hello</p>"
+    sha1 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    records = [
+        made("warcinfo", b"software: x\r\n", mime="application/warc-fields"),
+        made("response", b"HTTP/1.1 200 OK\r\nServer: s\r\n\r\n" + body, ("WARC-Payload-Digest", f"sha1:{sha1}"), ("WARC-Target-URI", "http://a.org/")),
+        made("revisit", b"HTTP/1.1 200 OK\r\n\r\n", ("WARC-Refers-To", "<urn:uuid:1>"), ("WARC-Payload-Digest", f"sha1:{sha1}")),
+    ]
+    data, lines, at = b"", [], 0
+    for i, r in enumerate(records):
+        packed = gzip.compress(r)
+        lines.append(f'org,a)/ 2020010100000{i} {{"url": "http://a.org/", "offset": "{at}", "length": "{len(packed)}", "filename": "crawl-1.warc.gz"}}')
+        data, at = data + packed, at + len(packed)
+    with zipfile.ZipFile(tmp_path / "p.wacz", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("archive/crawl-0.warc.gz", b"")
+        z.writestr("archive/crawl-1.warc.gz", data)
+        z.writestr("indexes/main.cdxj", "\n".join(lines))
+    reader = W.ZipReader(str(tmp_path / "p.wacz"))
+    info, response, revisit = reader.records()
+    assert (info.kind, info.payload, info.page) == ("warcinfo", b"software: x\r\n", None)
+    assert (response.payload, response.payload_bytes, response.digest, response.url) == (body, len(body), sha1, "http://a.org/")
+    assert (revisit.payload, revisit.payload_bytes, revisit.refers) == (None, None, "<urn:uuid:1>")
+    reader.close()
+    with pytest.raises(ValueError):
+        W.parse_record(made("response", b"HTTP/1.1 200 OK\r\n\r\nx", ("WARC-Payload-Digest", f"sha1:{sha1}")))
+
+
+def test_revisits_name_the_response_record():
+    payload = b"x" * 200
+    first, again = (W._head(W.record(k, p, "http://a/", payload, "d", r))[0] for k, p, r in (("response", "1", None), ("revisit", "2", "1")))
+    assert again["warc-refers-to"] == first["warc-record-id"] != again["warc-record-id"] and again["x-refers-to-page-id"] == "1"
