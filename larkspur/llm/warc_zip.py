@@ -1,7 +1,7 @@
 """WARC archives packaged in ZIP files: distributed writing, and reading by ranges.
 
 A task writes packages into the shared folder: ``archive/data.warc.gz`` (one gzip member a
-record) and ``indexes/index.cdxj`` (a JSON line a record), both stored without further
+record) and ``indexes/index.cdxj`` (key, time stamp and JSON a record), both stored without further
 compression. Every attempt writes under its own name, and only the packages of finished
 tasks are listed in the checkpointed manifest, so retries and lost executors leave nothing
 half-written in sight.
@@ -13,6 +13,7 @@ fetches the records' ranges, neighbouring ranges in one read of bounded size.
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import json
@@ -23,6 +24,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +38,8 @@ ROLL_RECORDS = 50_000
 ROLL_BYTES = 1 << 30
 READ_BYTES = 4 << 20
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
-STAMP = "2000-01-01T00:00:00Z"
+ARCHIVES, INDEXES = (".warc.gz", ".warc"), (".cdxj", ".cdx.json")
+STAMP, KEYED = "2000-01-01T00:00:00Z", "20000101000000"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -52,12 +55,17 @@ def _store(uri: str):
 # Records
 
 
+def record_id(page: str | None, digest: str) -> str:
+    """The id of a response: of its page and payload, so that revisits can name it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}|{digest}')}>"
+
+
 def record(kind: str, page: str | None, url: str | None, payload: bytes, digest: str, refers: str | None) -> bytes:
-    """One WARC record; a revisit leaves its payload out and keeps the length and the digest."""
+    """One WARC record; a revisit leaves its payload out, keeps length and digest, and names the response's record and page."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}|{url}|{digest}|{kind}')}>"),
+        ("WARC-Record-ID", record_id(page if kind == "response" else f"revisit|{page}|{url}", digest)),
         ("WARC-Date", STAMP),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
     ]
@@ -66,7 +74,7 @@ def record(kind: str, page: str | None, url: str | None, payload: bytes, digest:
     if page is not None:
         head.append(("X-Page-ID", page))
     if kind == "revisit":
-        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers}>")]
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers, digest)), ("X-Refers-To-Page-ID", refers)]
     body = http if kind == "revisit" else http + payload
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(body)))]
     lines = "".join(f"{k}: {v}\r\n" for k, v in head)
@@ -81,33 +89,46 @@ def _head(data: bytes) -> tuple[dict[str, str], bytes]:
 
 @dataclass
 class Read:
-    """A record as read back."""
+    """A record as read back; what a record doesn't say is null."""
 
     kind: str
     page: str | None
     url: str | None
     payload: bytes | None
-    payload_bytes: int
-    digest: str
+    payload_bytes: int | None
+    digest: str | None
     refers: str | None
 
 
 def parse_record(data: bytes) -> Read:
-    """Parse one decompressed record; ValueError if lengths or digests don't agree."""
+    """Parse one decompressed record of any type; ValueError if lengths or digests don't agree.
+
+    A response's payload is what follows the HTTP head (the whole block of other types). It is
+    null for revisits, whose length comes from their HTTP head, or is null without one. SHA-256
+    and SHA-1 digests (hexadecimal or base32) are verified; without one, the payload's SHA-256
+    is reported. ``refers`` is the page of this package's own revisits, else the record id.
+    """
     if not data.startswith(b"WARC/"):
         raise ValueError("not a WARC record")
     head, rest = _head(data)
-    size = int(head["content-length"])
+    size, kind = int(head.get("content-length", "-1")), head.get("warc-type", "")
     if len(rest) != size + 4:
         raise ValueError("the record's length differs from its Content-Length")
-    http, payload = _head(rest[:size])
-    n, digest = int(http["content-length"]), head["warc-payload-digest"].partition(":")[2]
-    refers = None
-    if head["warc-type"] == "revisit":
-        payload, refers = None, head["warc-refers-to"][len("<urn:page:") : -1]
-    elif len(payload) != n or hashlib.sha256(payload).hexdigest() != digest:
-        raise ValueError("the payload differs from its length or digest")
-    return Read(head["warc-type"], head.get("x-page-id"), head.get("warc-target-uri"), payload, n, digest, refers)
+    block, http = rest[:size], {}
+    if "http" in head.get("content-type", "").lower() and block.startswith(b"HTTP/"):
+        http, block = _head(block)
+    stated = http.get("content-length", "")
+    n = int(stated) if stated.isdigit() else None
+    method, _, digest = head.get("warc-payload-digest", "").partition(":")
+    page, url = head.get("x-page-id"), head.get("warc-target-uri")
+    if kind == "revisit":
+        return Read(kind, page, url, None, n, digest or None, head.get("x-refers-to-page-id", head.get("warc-refers-to")))
+    if n is not None and len(block) != n and "transfer-encoding" not in http:
+        raise ValueError("the payload differs from its length")
+    made = {"sha256": hashlib.sha256, "sha1": hashlib.sha1}.get(method.lower().replace("-", ""))
+    if made and digest.lower() not in (made(block).hexdigest(), base64.b32encode(made(block).digest()).decode().lower()):
+        raise ValueError("the payload differs from its digest")
+    return Read(kind, page, url, block, len(block), digest or hashlib.sha256(block).hexdigest(), None)
 
 
 # Packages
@@ -128,7 +149,8 @@ class Package:
     def add(self, data: bytes, **about) -> None:
         packed = gzip.compress(data, 1, mtime=0)
         self._archive.write(packed)
-        self.index.append(json.dumps({"offset": self.at, "length": len(packed), **about}))
+        known = {"offset": self.at, "length": len(packed), "filename": ARCHIVE.rpartition("/")[2], **about}
+        self.index.append(f"{about.get('page') or '-'} {KEYED} {json.dumps(known)}")
         self.at += len(packed)
 
     def close(self) -> tuple[str, int, int]:
@@ -213,17 +235,40 @@ class ZipReader:
         n_name, n_extra = struct.unpack_from("<HH", head, 26)
         return member.header + 30 + n_name + n_extra
 
-    def index(self) -> list[dict]:
-        member = self.members[INDEX]
+    def find(self, endings: tuple[str, ...]) -> list[Member]:
+        """The members with names of such endings, in the directory's order."""
+        return [m for m in self.members.values() if m.name.lower().endswith(endings)]
+
+    def index(self, member: Member | None = None) -> list[dict]:
+        """Entries (offset, length and what else is known) of an index member, the first by default.
+
+        A line holds a JSON object, behind a key and a time stamp where there are such.
+        """
+        member = member or next(iter(self.find(INDEXES)), None)
+        if member is None:
+            raise ValueError("the package has no index")
         lines = self.read(self.start(member), member.size).decode().splitlines()
-        return [json.loads(line) for line in lines]
+        entries = [json.loads(line[line.index("{") :]) for line in lines if "{" in line]
+        return [e | {"offset": int(e["offset"]), "length": int(e["length"])} for e in entries]
 
     def records(self, entries: list[dict] | None = None, block: int = READ_BYTES) -> Iterator[Read]:
-        """Records of the archive member by index entries (all of them by default), in their order."""
-        member = self.members[ARCHIVE]
+        """Records by index entries (all of them by default), in their order.
+
+        An entry's ``filename`` names the end of its archive member's name; without one it is
+        in the first archive.
+        """
+        archives = self.find(ARCHIVES)
+        if not archives:
+            raise ValueError("the package has no archive")
+        if entries is None:
+            entries = [e for m in self.find(INDEXES) for e in self.index(m)]
+        for name, some in groupby(entries, key=lambda e: e.get("filename")):
+            member = next((m for m in archives if name and m.name.endswith(name)), archives[0])
+            yield from self._records(member, list(some), block)
+
+    def _records(self, member: Member, entries: list[dict], block: int) -> Iterator[Read]:
         base = self.start(member)
         held, first = b"", 0
-        entries = self.index() if entries is None else entries
         for i, e in enumerate(entries):
             start, size = e["offset"], e["length"]
             if start + size > member.size:
@@ -234,7 +279,8 @@ class ZipReader:
                     end += entries[k]["length"]
                     k += 1
                 held, first = self.read(base + start, end - start), start
-            yield parse_record(zlib.decompress(held[start - first : start - first + size], 31))
+            data = held[start - first : start - first + size]
+            yield parse_record(zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data)
 
     def close(self) -> None:
         self.file.close()
