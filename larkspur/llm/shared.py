@@ -51,14 +51,17 @@ def without(df: DataFrame, keys: DataFrame, on: list[str], limit: int = BROADCAS
     return df.join(F.broadcast(keys) if small else keys, match, "left_anti")
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: str, how: str = "inner", least: int = HOT_ROWS) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, on: str, how: str = "inner", least: int = HOT_ROWS, few: bool = False) -> DataFrame:
     """``left`` joined (inner or left) with a table that has one narrow row a key; hot keys don't shuffle.
 
     Keys that hold more than a ``HOT_SHARE``-th of the rows of ``left`` (and ``least`` rows) are
     found by a pre-aggregated count. There are fewer than ``HOT_SHARE`` of them whatever the
     size, so their rows of ``right`` are broadcast; the other keys are joined by shuffling.
-    Give tables whose lineage is cut, since each is read twice where a key is hot.
+    Give tables whose lineage is cut, since each is read twice where a key is hot. ``few`` says
+    that ``left`` is known to have no more than ``least`` rows.
     """
+    if few:
+        return left.join(right, on, how)
     total = left.count()
     if total <= least:
         return left.join(right, on, how)

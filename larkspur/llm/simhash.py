@@ -126,11 +126,12 @@ def connected(edges: DataFrame, least: int = HOT_ROWS) -> DataFrame:
     """
     both = cut_lineage(edges.union(edges.select("b", "a")).toDF("u", "v").distinct())
     labels = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
+    few = both.count() <= least  # then no key is hot, and a round is one plan
     while True:
-        near = join_hot(both, labels.withColumnRenamed("node", "v"), "v", least=least).groupBy("u").agg(F.min("label").alias("m"))
+        near = join_hot(both, labels.withColumnRenamed("node", "v"), "v", least=least, few=few).groupBy("u").agg(F.min("label").alias("m"))
         new = labels.join(near, labels.node == near.u).select("node", F.least("label", "m").alias("at"), F.col("label").alias("old"))
-        new = cut_lineage(new)
-        new = join_hot(new, labels.toDF("at", "above"), "at", least=least).select("node", F.least("at", "above").alias("label"), "old")
+        new = new if few else cut_lineage(new)
+        new = join_hot(new, labels.toDF("at", "above"), "at", least=least, few=few).select("node", F.least("at", "above").alias("label"), "old")
         new = cut_lineage(new)
         done = new.where("label <> old").isEmpty()
         labels = new.select("node", "label")
@@ -147,6 +148,8 @@ def components(fps: DataFrame, id_col: str = "doc_id") -> DataFrame:
     roots = connected(links(nodes.select("fp")))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("label", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
+    if nodes.count() <= HOT_ROWS:
+        return named.join(least, "root").select("fp", "component")
     return cut_lineage(join_hot(cut_lineage(named), cut_lineage(least), "root").select("fp", "component"))
 
 

@@ -94,6 +94,13 @@ def test_a_long_chain_is_one_component(spark):
     assert {r.label for r in simhash.connected(edges).collect()} == {0}
 
 
+def test_hubs_are_split_alike(spark):
+    edges = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(20)] + [(299, 500), (500, 501)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    pick = lambda least: sorted(map(tuple, simhash.connected(df, least).collect()))
+    assert pick(10) == pick(10**6) and dict(pick(10))[501] == 0 and dict(pick(10))[1020] == 1000
+
+
 def test_one_of_each_group_stays(spark):
     rows = [(3, "a b c d", "x"), (1, "a b c d", "y"), (1, "a b c d", "y"), (2, "q w e r t y", "z"), (2, "something else here now", "z"), (None, "null id text here", "n"), (7, None, "n"), (8, "", "n")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
