@@ -88,18 +88,19 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """
     # Dealt anew, since a few small partitions of numbers become 64 times as many rows.
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    variants = _variants(fps.repartition(parts, "fp"))
-    groups = variants.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor("fp").alias("all")
-    )
-    groups = cut_lineage(groups.where("n > 1"))
+    # Variants move once: their counts and the join with them read the same exchange. A key is of one slot of 64, so it
+    # has at most a 64th of these rows, and almost all have one, which nothing could aggregate before the exchange.
+    variants = _variants(fps.repartition(parts, "fp")).where("key is not null").repartition("key")
+    groups = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor("fp").alias("all"))
+    # Of two or three fingerprints the smallest stands for the group.
+    met = cut_lineage(variants.join(groups.where("n > 1"), "key").where("n > 3 or fp = lo"))
     slot = F.shiftrightunsigned("key", 32)
-    few = groups.where("n <= 3").select("key", "n", "lo", "hi", F.expr("`all` ^ lo ^ hi").alias("mid"))
+    few = met.where("n <= 3").select("key", "n", "lo", "hi", F.expr("`all` ^ lo ^ hi").alias("mid"))
     pairs = F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in (("lo", "hi"), ("lo", "mid"), ("mid", "hi"))])
     few = few.select("key", F.explode(F.when(F.col("n") == 2, F.slice(pairs, 1, 1)).otherwise(pairs)).alias("p"))
     few = few.where(_linked(F.col("p.a"), F.col("p.b"), slot)).select("p.a", "p.b")
 
-    members = variants.join(groups.where("n > 3").select("key", "n"), "key")
+    members = met.where("n > 3").select("key", "fp", "n")
     some = members.where(F.col("n") <= bucket)
     left, right = some.select("key", F.col("fp").alias("a")), some.select(F.col("key").alias("key2"), F.col("fp").alias("b"))
     on = (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & _linked(F.col("a"), F.col("b"), slot)
@@ -124,7 +125,8 @@ def connected(edges: DataFrame, least: int = HOT_ROWS) -> DataFrame:
     the labels of large components are hot keys of these joins (see ``join_hot``). Repeated
     edges and edges both ways count once; without edges there are no nodes.
     """
-    both = cut_lineage(edges.union(edges.select("b", "a")).toDF("u", "v").distinct())
+    ways = F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in (("a", "b"), ("b", "a"))])
+    both = cut_lineage(edges.select(F.explode(ways).alias("e")).select("e.u", "e.v").distinct())
     labels = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
     few = both.count() <= least  # then no key is hot, and a round is one plan
     while True:
