@@ -1,5 +1,9 @@
 """Evidence and classes of the language identification."""
 
+import math
+import random
+from collections import Counter
+
 from larkspur.llm import language_id as LID
 from larkspur.llm.catalogue import QUERIES
 
@@ -32,3 +36,58 @@ def test_rare_labels_are_classes(spark):
     assert model.languages == ["en", "fi"]
     assert model.score("niin kun se on")[1][1] > model.score("niin kun se on")[1][0]
     assert LID.fit(df.where("false"), "doc_id", "text", "lang").languages == []
+
+
+def test_posterior_equals_brute_force(spark):
+    """All evidence at once: text, declaration, address, and priors of host, suffix and all rows, in plain Python."""
+    words = {"de": "der die das und nicht ein eine schnell über".split(), "en": "the and not a one quick over this that".split(), "fr": "le la les et ne pas un une vite sur".split()}
+    r, langs = random.Random(3), sorted(words)
+    train = [(i, " ".join(r.choices(words[x], k=12)), x) for i in range(40) for x in langs]
+    model = LID.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    hosts = ["a.de", "b.de", "c.fr", "d.uk", "e.com", "f.com"]
+    rows = []
+    for i in range(400):
+        host, x = r.choice(hosts), r.choice(langs)
+        text = r.choice([None, "", "12 34", " ".join(r.choices(words[x], k=r.choice([1, 1, 2, 8]))), r.choice(words[x])[:2] + r.choice(words[r.choice(langs)])[:2]])
+        url = r.choice([None, f"https://{host}/x", f"https://{host}/{r.choice(langs)}/x", f"https://{host}/"])
+        rows.append((i, text, r.choice([None, x, x, r.choice(langs), "xx"]), url))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, url string")
+    got = {o.doc_id: o for o in LID.identify(df, host_col=None, url_col="url", model=model).collect()}
+
+    scored, at_host, at_suffix, over = {}, {}, {}, Counter()
+    agree = both = 0
+    for i, text, declared, url in rows:
+        n, ll = model.score(text)
+        own = langs[ll.index(max(ll))] if n else None
+        host = url.split("/")[2] if url else ""
+        suffix = host.rpartition(".")[2] if url else ""
+        scored[i] = n, ll, own, host, suffix
+        if own:
+            for held, key in ((at_host, (host, suffix)), (at_suffix, suffix)):
+                held.setdefault(key, Counter())[own] += 1
+            over[own] += 1
+            both += declared is not None
+            agree += own == declared
+    trust, total = min(0.98, (agree + 1) / (both + 2)), sum(over.values())
+    fused_matters = 0
+    for i, _, declared, url in rows:
+        n, ll, own, host, suffix = scored[i]
+        part = url.split("/")[3] if url else ""
+        address = part if part in langs else {"de": "de", "fr": "fr", "uk": "en"}.get(suffix)
+        logs = []
+        for k, x in enumerate(langs):
+            p = (over[x] + 1) / (total + 3)
+            for held in (at_suffix.get(suffix, Counter()), at_host.get((host, suffix), Counter())):
+                p = (held[x] + LID.SMOOTH * p) / (sum(held.values()) + LID.SMOOTH)
+            logs.append(ll[k] + math.log(p))
+            for said, sure in ((declared, trust), (address, LID.ADDRESS_TRUST)):
+                if said in langs:
+                    logs[-1] += math.log(sure if said == x else max(1e-6, (1 - sure) / 2))
+        share = 1 / sum(math.exp(v - max(logs)) for v in logs)
+        noise = max(ll) < min(n, LID.WEIGHT) * -math.log(LID.BUCKETS)
+        assert got[i].text_language == own and got[i].n_trigrams == n
+        assert got[i].language == (langs[logs.index(max(logs))] if n else None)
+        assert abs(got[i].confidence - (share if n else 0.0)) < 2e-6
+        assert got[i].kept == (n > 0 and not noise and share >= LID.LEAST_CONFIDENCE)
+        fused_matters += n > 0 and got[i].language != own
+    assert len(got) == len(rows) and fused_matters > 5
