@@ -133,11 +133,16 @@ def check_manifest(manifest: DataFrame, files: DataFrame | None = None, least: i
     if manifest.limit(least).count() < least:
         raise ValueError(f"a training manifest needs at least {least} records")
     if files is not None:
-        lost = manifest.select("path").join(files.select("path"), "path", "left_anti").limit(3).collect()
+        lost = missing_files(manifest, files).limit(3).collect()
         if lost:
             raise ValueError(f"the manifest names files that aren't there: {[r.path for r in lost]}")
 
 
+def missing_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """(path) of manifest records whose file isn't among ``files`` (path); a null path never is."""
+    return manifest.select("path").join(files.select("path"), "path", "left_anti")
+
+
 def newest(files: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The path modified last (of equal times the last path) of a binaryFile listing, for each of the keys if given."""
     return files.groupBy(*(keys or [])).agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))

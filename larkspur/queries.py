@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from larkspur.functions import ids
 from larkspur.functions import signal as S
 from larkspur.operators import aggregates as A
-from larkspur.operators import dedup, fanout, filters
+from larkspur.operators import dedup, fanout, filters, models
 from larkspur.operators.analyze import Analysis, analyze
-from larkspur.operators.stage import active, reject, run_stages, run_stats
-from larkspur.plans.checkpoint import Checkpoint
+from larkspur.operators.stage import active, drop_failed_families, errors_by_stage, reject, run_stages, run_stats
+from larkspur.plans.checkpoint import Checkpoint, finished_sources
 from larkspur.plans.curate import column_stages, status
 from larkspur.runtime import checkpoint_folder, table
 from larkspur.schema import conform
@@ -417,3 +417,132 @@ def user_filter(spark, sf_dir):
     docs = conform(table(spark, sf_dir, "documents").withColumn("source_path", F.col("source")).drop("text"))
     rows = reject(docs, "user", (F.col("n_chars") >= 500) & (F.col("lang") == "en"), "user_rule")
     return rows.select("doc_id", active().alias("keep"))
+
+
+# Decoded audio and the kernels behind it
+
+
+def wav_files(spark, sf_dir) -> DataFrame:
+    """(path, content): every vector as a WAV file, each tenth one damaged."""
+    files = manifests.wav_bytes(vector_clips(spark, sf_dir).withColumn("wav", F.concat(F.lit("in/"), "doc_id", F.lit(".wav"))))
+    damaged = vec_of("path") % 10 == 0
+    return files.withColumn("content", F.when(damaged, F.encode(F.lit("no audio"), "UTF-8")).otherwise(F.col("content")))
+
+
+def vec_of(path: str) -> F.Column:
+    return F.regexp_extract(path, r"in/(\d+)\.wav", 1).cast("bigint")
+
+
+STORED = "u AS (SELECT vec_id AS k, list_transform(embedding, lambda v: CAST(trunc(greatest(-1.0, least(1.0, CAST(v AS DOUBLE))) * 32767) / CAST(32767 AS DOUBLE) AS FLOAT)) AS a FROM embeddings)"
+
+
+@query(f"""WITH {STORED} SELECT k AS vec_id, CASE WHEN k % 10 <> 0 THEN CAST(len(a) AS BIGINT) END AS n_samples, k % 10 = 0 AS unread,
+CASE WHEN k % 10 <> 0 THEN round(list_sum(list_transform(a, lambda v: CAST(v AS DOUBLE))), 6) END AS total FROM u""")
+def wav_decode(spark, sf_dir):
+    """WAV bytes written and read back; damaged files are rejected by the reader."""
+    rows = audio.decode(wav_files(spark, sf_dir), RATE)
+    total = F.aggregate("audio", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    return rows.select(vec_of("source_path").alias("vec_id"), F.col("n_samples").cast("bigint").alias("n_samples"), F.coalesce(F.col("reject_stage") == "reader", F.lit(False)).alias("unread"), F.round(total, 6).alias("total"))
+
+
+TAP = "0.75 * CASE WHEN p - b - o = 0 THEN 1 ELSE sin(pi() * 0.75 * (p - b - o)) / (pi() * 0.75 * (p - b - o)) END * (0.5 + 0.5 * cos(pi() * greatest(-1, least(1, (p - b - o) / 32))))"
+
+
+@query(f"""WITH {STORED}, j AS (SELECT k, a, unnest(range(0, 48)) AS i FROM u WHERE k % 10 <> 0), q AS (SELECT *, i * (CAST(8 AS DOUBLE) / 6) AS p, CAST(floor(i * (CAST(8 AS DOUBLE) / 6)) AS BIGINT) AS b FROM j)
+SELECT k AS vec_id, i AS at, round(CAST(CAST(list_sum(list_transform(range(-31, 33), lambda o: CASE WHEN b + o BETWEEN 0 AND 63 THEN CAST(a[b + o + 1] AS DOUBLE) * {TAP} ELSE 0 END))
+/ greatest(list_sum(list_transform(range(-31, 33), lambda o: {TAP})), 1e-9) AS FLOAT) AS DOUBLE), 5) AS x FROM q""")
+def resample_sinc(spark, sf_dir):
+    """Decoding with the windowed-sinc resampler, from 8 to 6 samples a second."""
+    rows = audio.decode(wav_files(spark, sf_dir), 6, "sinc").where(active())
+    return _posed(rows.withColumn("doc_id", vec_of("source_path")), "vec_id", F.col("audio"), 5)
+
+
+@query("""WITH t AS (SELECT k, list_transform(range(0, 64), lambda n: cos(2 * pi() * k * n / 2048)) AS c, list_transform(range(0, 64), lambda n: sin(2 * pi() * k * n / 2048)) AS s FROM range(1, 1025) r(k)),
+m AS (SELECT vec_id, k, sqrt(list_dot_product(d, c) ** 2 + list_dot_product(d, s) ** 2) AS g FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS d FROM embeddings) CROSS JOIN t),
+b AS (SELECT vec_id, (k - 1) // 16 AS band, avg(g) AS g FROM m GROUP BY vec_id, band), w AS (SELECT *, avg(g) OVER (PARTITION BY vec_id) AS mu FROM b)
+SELECT vec_id, lpad(lower(to_hex(CAST(sum(CASE WHEN g > mu THEN CAST(1 AS HUGEINT) << CAST(band AS INT) ELSE CAST(0 AS HUGEINT) END) AS HUGEINT))), 16, '0') AS fp FROM w GROUP BY vec_id""")
+def spectral_fingerprint(spark, sf_dir):
+    """The fused kernel's fingerprint: 64 bands of the spectrum against their mean."""
+    rows = analyze(vector_clips(spark, sf_dir), Analysis(vad_min_ratio=None, fingerprint=True, quality=False))
+    return rows.select(key("vec_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fp"))
+
+
+@query("""WITH e AS (SELECT list_transform(range(0, 6), lambda i: 700 * (10 ** (i / CAST(5 AS DOUBLE) * 2595 * log10(1 + 4 / CAST(700 AS DOUBLE)) / 2595) - 1)) AS e),
+f AS (SELECT m, list_transform(range(0, 9), lambda k: greatest(0, least((k * 0.5 - e[m + 1]) / (e[m + 2] - e[m + 1]), (e[m + 3] - k * 0.5) / (e[m + 3] - e[m + 2])))) AS f FROM e, range(0, 4) r(m)),
+c AS (SELECT vec_id, f AS frame, list_transform(range(0, 16), lambda p: (0.5 - 0.5 * cos(2 * pi() * p / 16)) * CAST(embedding[63 - abs(63 - abs(f * 4 + p - 8)) + 1] AS DOUBLE)) AS x FROM embeddings, range(0, 17) r(f)),
+g AS (SELECT vec_id, frame, list_transform(range(0, 9), lambda k: sqrt(list_sum(list_transform(range(0, 16), lambda p: x[p + 1] * cos(2 * pi() * k * p / 16))) ** 2 + list_sum(list_transform(range(0, 16), lambda p: x[p + 1] * sin(2 * pi() * k * p / 16))) ** 2)) AS g FROM c)
+SELECT vec_id, frame, m AS mel, round(CAST(CAST(ln(greatest(list_sum(list_transform(range(0, 9), lambda k: g[k + 1] * f.f[k + 1])), 1e-5)) AS FLOAT) AS DOUBLE), 3) AS x, CAST(16 AS BIGINT) AS n_frames FROM g, f""")
+def mel_spectrogram(spark, sf_dir):
+    """Log-mel frames of training batches, with a short transform for series of 64 samples."""
+    rows = models.mel_features(vector_clips(spark, sf_dir), 16, 4, 4).select(key("vec_id"), F.col("mel_length").cast("bigint").alias("n_frames"), F.posexplode("mel").alias("frame", "_mel"))
+    rows = rows.select("vec_id", "n_frames", F.col("frame").cast("bigint").alias("frame"), F.posexplode("_mel").alias("mel", "x"))
+    return rows.select("vec_id", "n_frames", "frame", F.col("mel").cast("bigint").alias("mel"), F.round(F.col("x").cast("double"), 3).alias("x"))
+
+
+def closed_sql(a: str, n: int, count: int) -> str:
+    """SQL for the list ``a`` of n numbers, interpolated to ``count`` with both ends kept."""
+    p = f"CASE WHEN j = {count - 1} THEN {n - 1} ELSE j * (CAST({n - 1} AS DOUBLE) / {count - 1}) END"
+    low, high = f"CAST({a}[CAST(floor({p}) AS BIGINT) + 1] AS DOUBLE)", f"CAST({a}[least(CAST(floor({p}) AS BIGINT) + 2, {n})] AS DOUBLE)"
+    return f"list_transform(range(0, {count}), lambda j: CAST({low} + ({p} - floor({p})) * ({high} - {low}) AS FLOAT))"
+
+
+@query(f"""WITH {CLIPS_V}, y AS (SELECT k, {closed_sql("a", 64, 96)} AS y FROM u), z AS (SELECT k, {closed_sql("y", 96, 64)} AS z FROM y)
+SELECT k AS vec_id, unnest(range(0, 64)) AS at, round(CAST(unnest(z) AS DOUBLE), 6) AS x FROM z""")
+def enhance_identity(spark, sf_dir):
+    """Enhancement at the model's own rate (32 to 48 kHz and back) with the model that changes nothing."""
+    rows = models.enhance(waveforms.arrays(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 32_000))
+    return _posed(rows.where("enhanced"), "vec_id", F.col("audio"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN trim(coalesce(text, '')) ELSE '' END AS transcription, 'table' AS backend FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL")
+def transcripts(spark, sf_dir):
+    """Texts of a table as transcripts; clips without one get an empty text."""
+    texts = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select("doc_id", "text")
+    rows = models.attach_transcripts(conform(doc_clips(spark, sf_dir).drop("transcription")), texts)
+    return rows.select("doc_id", "transcription", F.col("transcription_backend").alias("backend"))
+
+
+# Accounting of families and runs
+
+
+def fated(spark, sf_dir) -> DataFrame:
+    """Documents as clips, three to a source, some rejected, unread or failed."""
+    n = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.expr("doc_id div 3").alias("root_doc_id"))
+    return conform(docs.withColumns({
+        "error_stage": F.when(n % 11 == 0, "analyze").when(n % 13 == 0, "transcribe"),
+        "reject_stage": F.when(n % 17 == 0, "reader").when(n % 5 == 0, "snr"),
+    }))
+
+
+FATED = "d AS (SELECT doc_id, doc_id // 3 AS root, CASE WHEN doc_id % 11 = 0 THEN 'analyze' WHEN doc_id % 13 = 0 THEN 'transcribe' END AS bad, CASE WHEN doc_id % 17 = 0 THEN 'reader' WHEN doc_id % 5 = 0 THEN 'snr' END AS out FROM documents WHERE doc_id IS NOT NULL)"
+
+
+@query(f"WITH {FATED} SELECT bad AS error_stage, count(DISTINCT root) AS n FROM d WHERE bad IS NOT NULL GROUP BY bad")
+def stage_errors(spark, sf_dir):
+    return errors_by_stage(fated(spark, sf_dir))
+
+
+@query(f"WITH {FATED} SELECT doc_id FROM d WHERE bad IS NULL AND out IS NULL AND NOT EXISTS (SELECT 1 FROM d x WHERE x.root = d.root AND x.bad IS NOT NULL)")
+def kept_families(spark, sf_dir):
+    """Kept clips of sources that had no error in any part."""
+    return drop_failed_families(fated(spark, sf_dir)).select("doc_id")
+
+
+@query(f"WITH {FATED} SELECT root AS doc_id FROM d GROUP BY root HAVING count(bad) = 0 AND count(*) FILTER (WHERE out = 'reader') = 0")
+def sources_to_skip(spark, sf_dir):
+    """Sources that a checkpoint keeps out of the next run."""
+    return finished_sources(fated(spark, sf_dir))
+
+
+@query(f"WITH {LINES_SQL} SELECT 'p' || pos AS name, t AS text FROM l WHERE pos % 11 <> 0 AND pos % 5 <> 0")
+def training_list(spark, sf_dir):
+    rows = manifests.parse_strict(manifest_lines(spark, sf_dir))
+    return manifests.training_rows(rows.withColumn("path", F.concat(F.lit("wavs/"), "path")))
+
+
+@query("SELECT 'p' || doc_id AS path FROM documents d WHERE doc_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def manifest_missing_files(spark, sf_dir):
+    """Manifest records whose files aren't there."""
+    name = F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("path")
+    return A.missing_files(table(spark, sf_dir, "documents").where("doc_id is not null").select(name), table(spark, sf_dir, "labels").select(name))

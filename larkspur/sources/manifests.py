@@ -188,6 +188,21 @@ def write_wavs(clips: DataFrame, folder: str) -> DataFrame:
     return clips.where(F.col("audio").isNotNull()).select("doc_id", "wav", "sample_rate", "audio").mapInArrow(run, "doc_id string, wav string, n_bytes bigint")
 
 
+def wav_bytes(clips: DataFrame) -> DataFrame:
+    """(path, content): clips with audio as WAV files in memory, named by ``wav``; what ``audio.decode`` reads."""
+    ensure_workers_see_package(clips.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for wav, rate, audio in zip(*(batch.column(i) for i in range(3))):
+                data = K.encode_wav(audio.values.to_numpy(zero_copy_only=False), rate.as_py())
+                yield pa.RecordBatch.from_pydict({"path": [wav.as_py()], "content": [data]})
+
+    return clips.where(F.col("audio").isNotNull()).select("wav", "sample_rate", "audio").mapInArrow(run, "path string, content binary")
+
+
 RUN_COLUMNS = ("doc_id", "source_path", "segment_start_sample", "segment_start", "wav", "speaker_id", "transcription", "duration_seconds")
 
 
