@@ -28,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--turns", help="Parquet table of speaker turns (doc_id, speaker_id, start, end), in place of a diarization model")
     c.add_argument("--min-speakers", type=int), c.add_argument("--max-speakers", type=int)
     c.add_argument("--workers", type=int, help="local worker threads"), c.add_argument("--warn-mb", type=int, help="note files over this size")
+    c.add_argument("--progress", action="store_true", help="show running tasks on standard error")
     i = sub.add_parser("inspect", help="durations and formats of a folder")
     i.add_argument("source"), i.add_argument("--extensions", default="wav"), i.add_argument("--limit", type=int)
     sub.add_parser("doctor", help="capacity of this machine")
@@ -46,6 +47,7 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from larkspur.plans.curate import curate, curate_tts, inspect
+    from larkspur.plans.progress import watch
     from larkspur.sources import manifests
 
     builder = SparkSession.builder.appName("larkspur")
@@ -56,18 +58,19 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "curate":
         source = patterns_of(args.source, parse_extensions(args.extensions))
         reader = {"warn_bytes": args.warn_mb << 20} if args.warn_mb else {}
-        if args.tts:
-            made = curate_tts(
-                spark, source, args.output, tuple(parse_extensions(args.formats)), args.checkpoint, args.speaker,
-                snr_min=20.0 if args.snr_min is None else args.snr_min, least_seconds=args.min_duration, most_seconds=args.max_duration,
-                segment=args.segment, transcriber=args.transcribe, dedup_threshold=args.dedup_threshold,
-                turns=spark.read.parquet(args.turns) if args.turns else None, min_speakers=args.min_speakers, max_speakers=args.max_speakers, **reader,
-            )
-        else:
-            made = curate(
-                spark, source, args.output, args.checkpoint, __version__, vad_threshold=args.vad_threshold,
-                snr_min=15.0 if args.snr_min is None else args.snr_min, enhancer=args.enhance, segment=args.segment, **reader,
-            )
+        with watch(spark, (lambda p: print(p, file=sys.stderr)) if args.progress else None):
+            if args.tts:
+                made = curate_tts(
+                    spark, source, args.output, tuple(parse_extensions(args.formats)), args.checkpoint, args.speaker,
+                    snr_min=20.0 if args.snr_min is None else args.snr_min, least_seconds=args.min_duration, most_seconds=args.max_duration,
+                    segment=args.segment, transcriber=args.transcribe, dedup_threshold=args.dedup_threshold,
+                    turns=spark.read.parquet(args.turns) if args.turns else None, min_speakers=args.min_speakers, max_speakers=args.max_speakers, **reader,
+                )
+            else:
+                made = curate(
+                    spark, source, args.output, args.checkpoint, __version__, vad_threshold=args.vad_threshold,
+                    snr_min=15.0 if args.snr_min is None else args.snr_min, enhancer=args.enhance, segment=args.segment, **reader,
+                )
         print(json.dumps(made, indent=2))
     elif args.command == "inspect":
         print(json.dumps(inspect(spark, patterns_of(args.source, parse_extensions(args.extensions)), args.limit), indent=2))

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -16,40 +17,77 @@ from larkspur.providers import get_provider
 from larkspur.runtime import attach
 
 
-def _per_clip(df: DataFrame, stage: str, run_one: Callable[[dict, np.ndarray], np.ndarray]) -> DataFrame:
-    """Run a function on every active clip's row and audio; exceptions become the row's error."""
+CLIPS = 16
+SAMPLES = 1 << 24
+Some = Callable[[list[dict], list[np.ndarray]], list[np.ndarray]]
+
+
+def groups(lengths: list[int], clips: int = CLIPS, samples: int = SAMPLES) -> Iterator[tuple[int, int]]:
+    """[start, end) of runs of clips, bounded in clips and in samples; a clip beyond the bound is alone."""
+    start = held = 0
+    for i, n in enumerate(lengths):
+        if i > start and (i - start >= clips or held + n > samples):
+            yield start, i
+            start, held = i, 0
+        held += n
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
+def _tried(run_some: Some, stage: str, rows: list[dict], audio: list[np.ndarray]) -> list[np.ndarray]:
+    """The function's audio; clips of a failed group are tried one by one, and a bad clip gets its error."""
+    try:
+        return run_some(rows, audio)
+    except ImportError:
+        raise
+    except Exception as e:  # a bad clip must not stop the others
+        if len(rows) > 1:
+            return [_tried(run_some, stage, [r], [x])[0] for r, x in zip(rows, audio)]
+        rows[0]["error_stage"], rows[0]["error"] = stage, f"{type(e).__name__}: {e}"[:500]
+        return audio
+
+
+def _per_group(df: DataFrame, stage: str, run_some: Some) -> DataFrame:
+    """Run a function on the rows and audio of active clips, a bounded group at a time; exceptions become a row's error."""
     schema = to_arrow_schema(df.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                part = batch.slice(i, 1)
-                row = part.drop_columns(["audio"]).to_pylist()[0]
-                x = part.column("audio")[0]
-                x = x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.float32)
-                if row["reject_stage"] is None and row["error_stage"] is None:
-                    try:
-                        x = run_one(row, x)
-                    except ImportError:
-                        raise
-                    except Exception as e:  # a bad clip must not stop the others
-                        row["error_stage"], row["error"] = stage, f"{type(e).__name__}: {e}"[:500]
-                    columns = [pa.array([x if f.name == "audio" else row[f.name]], f.type) for f in schema]
+            lengths = pc.fill_null(pc.list_value_length(batch.column("audio")), 0).to_pylist()
+            for start, end in groups(lengths):
+                part = batch.slice(start, end - start)
+                rows = part.drop_columns(["audio"]).to_pylist()
+                audio = [x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in part.column("audio")]
+                live = [i for i, r in enumerate(rows) if r["reject_stage"] is None and r["error_stage"] is None]
+                if live:
+                    given = [np.zeros(0, np.float32) if audio[i] is None else audio[i] for i in live]
+                    for i, x in zip(live, _tried(run_some, stage, [rows[i] for i in live], given)):
+                        audio[i] = x
+                    columns = [pa.array(audio if f.name == "audio" else [r[f.name] for r in rows], f.type) for f in schema]
                     part = pa.RecordBatch.from_arrays(columns, schema=schema)
                 yield part
 
     return df.mapInArrow(run, df.schema)
 
 
+def _run_all(model: object, items: list[tuple]) -> list:
+    """A model's results for argument tuples: by its ``run_batch`` if it has one, else one at a time."""
+    made = model.run_batch(items) if hasattr(model, "run_batch") else [model.run(*item) for item in items]
+    if len(made) != len(items):
+        raise ValueError(f"a model gave {len(made)} results for {len(items)} clips")
+    return made
+
+
 def transcribe(df: DataFrame, provider: str = "table") -> DataFrame:
     """Set ``transcription`` on active clips; never rejects."""
 
-    def one(row: dict, audio: np.ndarray) -> np.ndarray:
-        row["transcription"] = (get_provider("transcriber", provider).run(row["doc_id"], audio, row["sample_rate"]).text or "").strip()
-        row["transcription_backend"] = provider
+    def some(rows: list[dict], audio: list[np.ndarray]) -> list[np.ndarray]:
+        made = _run_all(get_provider("transcriber", provider), [(r["doc_id"], x, r["sample_rate"]) for r, x in zip(rows, audio)])
+        for row, text in zip(rows, [(m.text or "").strip() for m in made]):
+            row["transcription"], row["transcription_backend"] = text, provider
         return audio
 
-    return _per_clip(df, "transcribe", one)
+    return _per_group(df, "transcribe", some)
 
 
 def attach_transcripts(df: DataFrame, texts: DataFrame, backend: str = "table") -> DataFrame:
@@ -63,13 +101,15 @@ def attach_transcripts(df: DataFrame, texts: DataFrame, backend: str = "table")
 def enhance(df: DataFrame, provider: str = "identity") -> DataFrame:
     """Run an enhancement model at its own rate; length and rate stay the clip's."""
 
-    def one(row: dict, audio: np.ndarray) -> np.ndarray:
-        model, rate = get_provider("enhancer", provider), row["sample_rate"]
-        out = K.resample_closed(model.run(K.resample_closed(audio, rate, model.required_rate)), model.required_rate, rate)
-        row["enhanced"], row["enhancement_model"] = True, model.name
-        return out if len(out) == len(audio) else K.fit_length(out, len(audio))
+    def some(rows: list[dict], audio: list[np.ndarray]) -> list[np.ndarray]:
+        model = get_provider("enhancer", provider)
+        made = _run_all(model, [(K.resample_closed(x, r["sample_rate"], model.required_rate),) for r, x in zip(rows, audio)])
+        made = [K.resample_closed(y, model.required_rate, r["sample_rate"]) for r, y in zip(rows, made)]
+        for row in rows:
+            row["enhanced"], row["enhancement_model"] = True, model.name
+        return [y if len(y) == len(x) else K.fit_length(y, len(x)) for x, y in zip(audio, made)]
 
-    return _per_clip(df, "enhance", one)
+    return _per_group(df, "enhance", some)
 
 
 def mel_features(df: DataFrame, n_fft: int = 1024, hop: int = 256, mels: int = 100) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Weights of third-party models aren't part of this engine. Each kind has deterministic
 providers that need none, and ``register`` adds real ones. A provider is made once per
-worker process, on first use.
+worker process, on first use. Transcribers and enhancers may have a ``run_batch`` that takes
+a list of the argument tuples of ``run`` and gives a list of its results.
 """
 
 from __future__ import annotations

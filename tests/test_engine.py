@@ -337,6 +337,49 @@ def test_models_and_errors(spark):
     assert fall.spans(speech(1, 1), RATE, 512)[1] == "energy_fallback"
 
 
+class Batched:
+    """Upper-cases ids, a list at a time; one clip's id breaks it."""
+
+    def run_batch(self, items):
+        if any(doc == "d2" for doc, _, _ in items):
+            raise RuntimeError("no d2")
+        return [providers.InferenceResult(text=f" {doc.upper()} of {len(items)} ") for doc, _, _ in items]
+
+
+def test_models_get_bounded_groups(spark):
+    assert list(models.groups([5, 5, 5, 50, 1, 1], 2, 12)) == [(0, 2), (2, 3), (3, 4), (4, 6)] and list(models.groups([])) == []
+    df = frame(spark, [speech(0.1, i) for i in range(5)]).repartition(1)
+    df = df.withColumn("reject_stage", F.when(F.col("doc_id") == "d4", "vad")).withColumn("audio", F.when(F.col("doc_id") != "d4", F.col("audio")))
+    get = lambda kind, name: Batched()
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(models, "get_provider", get)
+        made = models._run_all(Batched(), [("d0", None, 1), ("d1", None, 1)])
+        assert [x.text for x in made] == [" D0 of 2 ", " D1 of 2 "]
+        rows = [{"doc_id": f"d{i}", "error_stage": None, "error": None} for i in range(4)]
+
+        def some(rows, audio):
+            for row, x in zip(rows, models._run_all(get("", ""), [(r["doc_id"], None, 1) for r in rows])):
+                row["text"] = x.text
+            return audio
+
+        assert models._tried(some, "transcribe", rows, list("abcd")) == list("abcd")
+    assert [r.get("text") for r in rows] == [" D0 of 1 ", " D1 of 1 ", None, " D3 of 1 "] and rows[2]["error"] == "RuntimeError: no d2"
+    out = {r.doc_id: r for r in models.transcribe(df, "nothing of this name").collect()}
+    assert out["d4"].error_stage is None and out["d4"].audio is None and all(out[f"d{i}"].error_stage == "transcribe" for i in range(4))
+    assert {r.doc_id: r.transcription for r in models.transcribe(df, "table").collect()} == {"d0": "", "d1": "", "d2": "", "d3": "", "d4": None}
+
+
+def test_progress_is_reported(spark):
+    from larkspur.plans.progress import watch
+
+    seen = []
+    with watch(spark, seen.append, 0.05):
+        spark.range(0, 2_000_000, 1, 4).selectExpr("sum(sqrt(id))").collect()
+    assert seen and all(p.done <= p.total for p in seen) and "tasks" in str(seen[-1])
+    with watch(spark, None):
+        pass
+
+
 def test_user_filter_and_persisted_run(spark, tmp_path):
     df = frame(spark, [speech(6, 1), speech(3, 2)])
     stage = filter_stage("long", F.col("duration_seconds") > 5)
@@ -434,7 +477,7 @@ def test_command_line(spark, folder, tmp_path, capsys):
 
     assert main(["doctor"]) == 0 and json.loads(capsys.readouterr().out)["workers"] >= 1
     assert main(["inspect", folder]) == 0 and json.loads(capsys.readouterr().out)["files"] == 6
-    assert main(["curate", folder, str(tmp_path / "m"), "--vad-threshold", "0.1", "--snr-min", "5"]) == 0
+    assert main(["curate", folder, str(tmp_path / "m"), "--vad-threshold", "0.1", "--snr-min", "5", "--progress"]) == 0
     assert json.loads(capsys.readouterr().out)["kept"] >= 2
     assert main(["curate", f"{folder}/a.wav", str(tmp_path / "t"), "--tts", "--snr-min", "5", "--formats", "ljspeech"]) == 0
     assert json.loads(capsys.readouterr().out)["kept"] == 1 and (tmp_path / "t/metadata.csv").exists()
