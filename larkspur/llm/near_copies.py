@@ -1,12 +1,15 @@
-"""Near-duplicates by the shingles that texts share: an exact set-similarity join.
+"""Near-duplicates by SimHash deletion variants, verified on shingles, and an exact set-similarity join for the rest.
 
 Two texts link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or
-more. At that similarity SimHash fingerprints differ in about ten bits, more or fewer by
-chance, so no radius that can be indexed covers all such pairs; prefixes do. With the shingles of all
+more. First the method of :mod:`larkspur.llm.simhash`, on fingerprints of five-word shingles:
+texts of one fingerprint, and those whose fingerprints share a one-wildcard variant of a segment
+and differ in at most ``BITS`` bits, are candidates, verified on the whole sets. At a similarity of 0.8
+fingerprints differ in about ten bits, more or fewer by chance, so no radius that can be indexed
+covers all such pairs. Prefixes find the rest: with the shingles of all
 texts in one order, a linked pair shares one of the first ``n - ceil(0.8 n) + 1`` shingles
 of each text. Texts that share one are a bucket; sizes and places bound the overlap that
 is still possible, bitmaps of the sets bound it closer, and pairs are verified on the whole sets. A bucket's leader meets all its
-members first; after that only members of different components meet, so that a large group of
+members first, together with the candidates of the fingerprints; after that only members of different components meet, so that a large group of
 near copies makes pairs in proportion to its size. Nothing is dropped.
 
 The order puts shingles that are frequent in a sample of texts last. The sample decides how
@@ -21,12 +24,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.llm import simhash
 from larkspur.llm.common import map_texts
-from larkspur.llm.shared import BROADCAST_ROWS, cut_lineage, join_hot
-from larkspur.llm.simhash import SEED, connected, keep_first, keyed_texts
+from larkspur.llm.shared import BROADCAST_ROWS, cut_lineage, delete, join_hot, written
+from larkspur.llm.simhash import SEED, connected, fingerprint, keep_first, keyed_texts
 
 SHINGLE = 5
 SHARE = (4, 5)
+BITS = 16
 SAMPLE_TEXTS = 16_000
 COMMON = 300_000
 
@@ -77,7 +82,7 @@ def bitmap(found: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(keyed: DataFrame) -> DataFrame:
-    """(id, hash, row, node, size, prefix, bits) of every row; node names the set, row the row."""
+    """(id, hash, row, node, size, prefix, bits, fp) of every row; node names the set, row the row, fp is the SimHash."""
     import xxhash
 
     common, counts = common_shingles(keyed)
@@ -88,12 +93,12 @@ def shingle_sets(keyed: DataFrame) -> DataFrame:
             nodes = np.array([xxhash.xxh64_intdigest(f.tobytes()) for f in found], dtype=np.uint64).view(np.int64)
             return {
                 "node": nodes.tolist(), "size": [f.size for f in found], "prefix": [prefix(f, common, counts).tolist() for f in found],
-                "bits": [bitmap(f).tolist() for f in found],
+                "bits": [bitmap(f).tolist() for f in found], "fp": [fingerprint(t, SHINGLE) for t in texts],
             }
 
         return apply
 
-    fields = [("node", "bigint"), ("size", "bigint"), ("prefix", "array<bigint>"), ("bits", "array<bigint>")]
+    fields = [("node", "bigint"), ("size", "bigint"), ("prefix", "array<bigint>"), ("bits", "array<bigint>"), ("fp", "bigint")]
     return map_texts(keyed, ["id", "hash"], "t", kernel, fields).withColumn("row", F.monotonically_increasing_id())
 
 
@@ -103,6 +108,21 @@ def one_each(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     return sets.join(F.broadcast(rows) if nodes.count() <= BROADCAST_ROWS else rows, "row", "left_semi")
 
 
+def simhash_pairs(own: DataFrame) -> DataFrame:
+    """The (a, b) pairs that fingerprints propose, at most two a node: large groups of near copies make no more.
+
+    The first node of a fingerprint meets its others, and that of the nearest of the smaller linked
+    fingerprints. What this leaves apart is found by prefixes.
+    """
+    held = cut_lineage(own.where("size > 0").select("node", "fp"))
+    lead = cut_lineage(held.groupBy("fp").agg(F.min("node").alias("first")))
+    same = join_hot(held, lead, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = simhash.links(lead.select("fp"), bits=BITS)
+    near = near.groupBy("b").agg(F.min(F.struct(F.expr("bit_count(a ^ b)"), "a")).alias("l")).select("l.a", "b")
+    near = near.join(lead.toDF("a", "x"), "a").join(lead.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return _ordered(same.union(near))
+
+
 def members(own: DataFrame) -> DataFrame:
     """(s, node, size, at): the prefix shingles that several nodes have; all others prove that nothing links there.
 
@@ -193,15 +213,19 @@ def verified(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def links(keyed: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
-    """(a, b) links of the nodes (node, rep) with the sets ``own`` (node, size, prefix, bits), complete for connectivity.
+    """(a, b) links of the nodes (node, rep) with the sets ``own`` (node, size, prefix, bits, fp), complete for connectivity.
 
-    Each bucket's leader is verified with the bucket first. Pairs within a component that this
-    connects need no more; all pairs between components are verified.
+    Pairs that fingerprints propose and pairs of each prefix bucket's leader with the bucket are verified first.
+    Pairs within a component that these connect need no more; all pairs between components are verified.
     """
+    near, path = written(simhash_pairs(own), "simhash-pairs")  # Spark estimates its size by the files; estimates multiply over joins
     held = members(own)
     leaders, pairs = leader_pairs(held)
+    pairs = cut_lineage(near.union(pairs).distinct())
     first = verified(keyed, nodes, compatible(own, pairs))
-    return first.union(verified(keyed, nodes, compatible(own, other_pairs(held, leaders, connected(first), pairs))))
+    found = first.union(verified(keyed, nodes, compatible(own, other_pairs(held, leaders, connected(first), pairs))))
+    delete(keyed.sparkSession, path)
+    return found
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

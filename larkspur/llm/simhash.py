@@ -70,21 +70,24 @@ def _variants(fps: DataFrame) -> DataFrame:
 
 
 def _first_slot(a: Column, b: Column) -> Column:
-    """The first slot in which a pair at two or fewer bits meets."""
+    """The first slot in which a pair with a variant in common meets."""
     x = a.bitwiseXOR(b)
-    low = x.bitwiseAND(F.lit(LOW))
-    return F.when(low == 0, F.lit(0)).when(F.bit_count(low) == 1, F.bit_count(low - 1)).otherwise(F.lit(32))
+    low, high = x.bitwiseAND(F.lit(LOW)), F.shiftrightunsigned(x, 32)
+    upper = F.when(high == 0, F.lit(32)).otherwise(F.bit_count(high - 1) + 32)
+    return F.when(low == 0, F.lit(0)).when(F.bit_count(low) == 1, F.bit_count(low - 1)).otherwise(upper)
 
 
-def _linked(a: Column, b: Column, slot: Column) -> Column:
-    return (F.bit_count(a.bitwiseXOR(b)) <= 2) & (_first_slot(a, b) == slot)
+def _linked(a: Column, b: Column, slot: Column, bits: int) -> Column:
+    return (F.bit_count(a.bitwiseXOR(b)) <= bits) & (_first_slot(a, b) == slot)
 
 
-def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(a, b) pairs of distinct fingerprints ``fp`` that differ in one or two bits.
+def links(fps: DataFrame, bucket: int = BUCKET, bits: int = 2) -> DataFrame:
+    """(a, b) pairs of distinct fingerprints ``fp`` that share a variant and differ in at most ``bits`` bits.
 
-    Complete for connectivity: every link appears, except that within a group of at most four
-    fingerprints that agree on 62 bits (all linked to one another) links go to the smallest.
+    At two bits complete for connectivity: every link appears, except that within a group of at most
+    four fingerprints that agree on 62 bits (all linked to one another) links go to the smallest.
+    More than three bits may differ in both segments, and pairs beyond two bits in buckets over
+    ``bucket`` aren't made, so such a caller needs another way for the rest.
     """
     # Dealt anew, since a few small partitions of numbers become 64 times as many rows.
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -98,12 +101,12 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     few = met.where("n <= 3").select("key", "n", "lo", "hi", F.expr("`all` ^ lo ^ hi").alias("mid"))
     pairs = F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in (("lo", "hi"), ("lo", "mid"), ("mid", "hi"))])
     few = few.select("key", F.explode(F.when(F.col("n") == 2, F.slice(pairs, 1, 1)).otherwise(pairs)).alias("p"))
-    few = few.where(_linked(F.col("p.a"), F.col("p.b"), slot)).select("p.a", "p.b")
+    few = few.where(_linked(F.col("p.a"), F.col("p.b"), slot, bits)).select("p.a", "p.b")
 
     members = met.where("n > 3").select("key", "fp", "n")
     some = members.where(F.col("n") <= bucket)
     left, right = some.select("key", F.col("fp").alias("a")), some.select(F.col("key").alias("key2"), F.col("fp").alias("b"))
-    on = (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & _linked(F.col("a"), F.col("b"), slot)
+    on = (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & _linked(F.col("a"), F.col("b"), slot, bits)
     some = left.join(right, on).select("a", "b")
 
     dense = members.where(F.col("n") > bucket).select("fp").distinct()

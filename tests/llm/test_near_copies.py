@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from larkspur.llm import near_copies
+from larkspur.llm import near_copies, simhash
 
 
 def brute_set(text):
@@ -57,3 +57,38 @@ def test_frequent_shingles_change_no_result(spark, monkeypatch):
     for most in (0, 50_000):
         monkeypatch.setattr(near_copies, "COMMON", most)
         assert {r.doc_id for r in near_copies.drop_near_copies(df).collect()} == brute_kept(texts)
+
+
+def test_fingerprints_propose_and_shingles_verify(spark, monkeypatch):
+    """Without the exact join, near copies of close fingerprints go; texts of one fingerprint with other words stay."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(700)]
+    texts = {1: " ".join(words), 2: " ".join(["x", *words[1:]]), 3: " ".join([*words[:-1], "y"])}
+    for i in (4, 5):
+        texts[i] = "one line that comes again " * 400 + " ".join(f"t{r.randrange(10**6)}" for _ in range(40))
+    assert simhash.fingerprint(texts[4], 5) == simhash.fingerprint(texts[5], 5)
+    members = near_copies.members
+    monkeypatch.setattr(near_copies, "members", lambda own: members(own.where("false")))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in near_copies.drop_near_copies(df).collect()} == {1, 4, 5} == brute_kept(texts)
+
+
+def test_links_beyond_two_bits(spark):
+    r = random.Random(6)
+    fps = set()
+    while len(fps) < 400:
+        x = r.getrandbits(64)
+        for _ in range(4):
+            near = x
+            for p in r.sample(range(32), r.randint(0, 2)) + r.sample(range(32, 64), r.randint(0, 18)):
+                near ^= 1 << p
+            fps.add(near)
+    want = set()
+    for a in fps:
+        for b in fps:
+            low, high = ((a ^ b) & 0xFFFFFFFF).bit_count(), ((a ^ b) >> 32).bit_count()
+            if a != b and min(low, high) <= 1 and low + high <= 16:
+                want.add(frozenset((a, b)))
+    signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
+    got = simhash.links(spark.createDataFrame(signed, "fp long"), bits=16).collect()
+    assert len(got) == len(want) and {frozenset((r.a % (1 << 64), r.b % (1 << 64))) for r in got} == want
