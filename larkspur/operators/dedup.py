@@ -1,24 +1,33 @@
 """Near-duplicate clips by spectral fingerprints.
 
 The rule is greedy: in a fixed order, a clip goes if its fingerprint is within ``threshold``
-bits of an earlier kept one. It is solved exactly and distributed: distinct fingerprints
-(the earliest clip of each stands for all), candidate pairs by equality of bit blocks, and
-rounds that keep every clip without an undecided earlier neighbour and drop the later
-neighbours of kept clips, with a checkpoint each.
+bits of an earlier kept one. It is solved exactly and distributed, over distinct fingerprints
+(the earliest clip of each stands for all), in one of two ways with the same result:
+
+* Where blocks of bits tell words apart: candidate pairs by equality of bit blocks, and rounds
+  that keep every clip without an undecided earlier neighbour and drop the later neighbours of
+  kept clips, with a checkpoint each.
+* Where a wide threshold would take more keys a word than there are words to compare it with:
+  passes that decide the earliest words in one task, a bounded number of them, and compare all
+  later words with those kept. No pairs are listed.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import signal as S
+from larkspur.operators.aggregates import numbered
 from larkspur.operators.stage import active
-from larkspur.runtime import attach, cut_lineage
+from larkspur.runtime import attach, cut_lineage, ensure_workers_see_package
 
 
 def block_masks(threshold: int, agree: int = 2, bits: int = 64) -> list[int]:
@@ -49,6 +58,17 @@ def best_agreement(n: int, threshold: int, bits: int = 64, most_keys: int = 2000
 
 BUCKET = 1000
 MOST_KEYS = 2000
+#: Rough nanoseconds of a word's key, of a candidate pair of a key, and of a comparison with a word.
+KEY_NS, CANDIDATE_NS, PAIR_NS = 1000.0, 12.0, 2.0
+#: Words that a pass decides, comparisons at a time, and windows of ranks that are counted.
+PASS, AT_ONCE, WINDOWS = 1 << 16, 1 << 19, 4096
+
+
+def compares_all(n: int, threshold: int, most_keys: int = MOST_KEYS) -> bool:
+    """Whether comparing all of ``n`` words costs less than blocking them."""
+    agree = best_agreement(n, threshold, most_keys=most_keys)
+    candidates = n / 2 / 2 ** (64 * agree / (threshold + agree))
+    return PAIR_NS * n / 2 <= math.comb(threshold + agree, agree) * (KEY_NS + CANDIDATE_NS * candidates)
 
 
 def near_pairs(fps: DataFrame, threshold: int = 8, agree: int | None = None, bucket: int = BUCKET, most_keys: int = MOST_KEYS) -> DataFrame:
@@ -79,15 +99,71 @@ def near_pairs(fps: DataFrame, threshold: int = 8, agree: int | None = None, buc
         agree += 1
 
 
-def greedy_duplicates(clips: DataFrame, threshold: int = 8, order: tuple[str, ...] = ("source_path", "doc_id"), agree: int | None = None) -> DataFrame:
-    """(doc_id, duplicate_of): for every clip (doc_id, fingerprint, order columns) the kept clip it repeats, or null.
+def _first_kept(nodes: DataFrame, threshold: int) -> DataFrame:
+    """(fp, of): the ``at`` of the kept word that each word (fp, at) repeats, its own if it is kept; by passes.
 
-    Clips without a fingerprint are kept. Ties in the order go by doc_id.
+    A pass takes the earliest ``PASS`` undecided words, in windows of ranks. One task decides
+    them in order; they are sent to all others, and the undecided words after them that are
+    within the threshold of one are decided, by the earliest.
     """
-    key = F.struct(*[F.col(c) for c in order], F.col("doc_id").alias("_id"))
-    clips = cut_lineage(clips.select("doc_id", F.col("fingerprint").alias("fp"), key.alias("at")))
-    nodes = clips.where("fp is not null").groupBy("fp").agg(F.min("at").alias("at"))
-    nodes = cut_lineage(nodes)
+    ensure_workers_see_package(nodes.sparkSession)
+    ranked = cut_lineage(numbered(nodes, ["at"], "rank").select("rank", "fp", "at"))
+    rest, n, found = ranked.select("rank", "fp"), ranked.count(), []
+    window = F.floor(F.col("rank") / math.ceil(max(1, n) / WINDOWS))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, ranks, k = np.zeros(1024, np.uint64), np.zeros(1024, np.int64), 0
+        for batch in batches:
+            rank = batch.column(0).to_numpy()
+            of = rank.copy()
+            for i, word in enumerate(batch.column(1).to_numpy().view(np.uint64)):
+                near = np.bitwise_count(words[:k] ^ word) <= threshold
+                at = int(near.argmax()) if k else 0
+                if k and near[at]:
+                    of[i] = ranks[at]
+                    continue
+                if k == len(words):
+                    words, ranks = np.resize(words, 2 * k), np.resize(ranks, 2 * k)
+                words[k], ranks[k], k = word, rank[i], k + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of)], ["rank", "fp", "of"])
+
+    def compare(words: np.ndarray, ranks: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            step = max(1, AT_ONCE // len(words))
+            for batch in batches:
+                given, of, none = batch.column(1).to_numpy().view(np.uint64), np.zeros(batch.num_rows, np.int64), np.ones(batch.num_rows, bool)
+                for at in range(0, batch.num_rows, step):
+                    near = np.bitwise_count(given[at : at + step, None] ^ words[None]) <= threshold
+                    first = near.argmax(1)
+                    of[at : at + step], none[at : at + step] = ranks[first], ~near[np.arange(len(near)), first]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of, mask=none)], ["rank", "fp", "of"])
+
+        return run
+
+    schema = "rank bigint, fp bigint, of bigint"
+    while counts := sorted((r.w, r["count"]) for r in rest.groupBy(window.alias("w")).count().collect()):
+        end, taken = 0, 0
+        while end < len(counts) and (not end or taken + counts[end][1] <= PASS):
+            taken, end = taken + counts[end][1], end + 1
+        last = window <= counts[end - 1][0]
+        part = cut_lineage(rest.where(last).repartition(1).sortWithinPartitions("rank").mapInArrow(decide, schema))
+        found.append(part.select("rank", "of"))
+        if end == len(counts):
+            break
+        kept = part.where("rank = of").select("fp", "rank").toArrow().sort_by("rank")  # PASS words at most
+        words, ranks = (kept.column(c).to_numpy() for c in ("fp", "rank"))
+        rest = cut_lineage(rest.where(~last).mapInArrow(compare(words.view(np.uint64), ranks), schema))
+        found.append(rest.where("of is not null").select("rank", "of"))
+        rest = rest.where("of is null").select("rank", "fp")
+    if not found:
+        return nodes.select("fp", F.col("at").alias("of"))
+    placed = ranked.join(reduce(DataFrame.union, found), "rank")
+    kept = placed.where("rank = of").select(F.col("rank").alias("_rank"), F.col("at").alias("_at"))
+    return attach(placed, kept, F.col("of") == F.col("_rank")).select("fp", F.col("_at").alias("of"))
+
+
+def _by_rounds(nodes: DataFrame, threshold: int, agree: int | None) -> DataFrame:
+    """The same as ``_first_kept``, by rounds over the near pairs of words."""
     pairs = near_pairs(nodes.select("fp"), threshold, agree)
     pairs = pairs.join(nodes.toDF("a", "at_a"), "a").join(nodes.toDF("b", "at_b"), "b")
     first = F.col("at_a") < F.col("at_b")
@@ -107,7 +183,19 @@ def greedy_duplicates(clips: DataFrame, threshold: int = 8, order: tuple[str, ..
         fate = cut_lineage(fate.select("fp", F.coalesce("kept", "now", "gone").alias("kept")))
     kept = fate.where("kept").select("fp")
     of = edges.join(kept.withColumnRenamed("fp", "early"), "early", "left_semi").groupBy(F.col("late").alias("fp")).agg(F.min("at").alias("of"))
-    of = nodes.join(of, "fp", "left").select("fp", F.coalesce("of", "at").alias("of"))
+    return nodes.join(of, "fp", "left").select("fp", F.coalesce("of", "at").alias("of"))
+
+
+def greedy_duplicates(clips: DataFrame, threshold: int = 8, order: tuple[str, ...] = ("source_path", "doc_id"), agree: int | None = None) -> DataFrame:
+    """(doc_id, duplicate_of): for every clip (doc_id, fingerprint, order columns) the kept clip it repeats, or null.
+
+    Clips without a fingerprint are kept. Ties in the order go by doc_id.
+    """
+    key = F.struct(*[F.col(c) for c in order], F.col("doc_id").alias("_id"))
+    clips = cut_lineage(clips.select("doc_id", F.col("fingerprint").alias("fp"), key.alias("at")))
+    nodes = clips.where("fp is not null").groupBy("fp").agg(F.min("at").alias("at"))
+    nodes = cut_lineage(nodes)
+    of = _first_kept(nodes, threshold) if not agree and compares_all(nodes.count(), threshold) else _by_rounds(nodes, threshold, agree)
     out = clips.join(of, "fp", "left")
     return out.select("doc_id", F.when(F.col("of._id") != F.col("doc_id"), F.col("of._id")).alias("duplicate_of"))
 
