@@ -9,7 +9,7 @@ bits of an earlier kept one. It is solved exactly and distributed, over distinct
   kept clips, with a checkpoint each.
 * Where a wide threshold would take more keys a word than there are words to compare it with:
   passes that decide the earliest words in one task, a bounded number of them, and compare all
-  later words with those kept. No pairs are listed.
+  later words with those kept. No pairs are listed. ``near_pairs`` compares tiles of words there.
 """
 
 from __future__ import annotations
@@ -58,8 +58,10 @@ def best_agreement(n: int, threshold: int, bits: int = 64, most_keys: int = 2000
 
 BUCKET = 1000
 MOST_KEYS = 2000
-#: Rough nanoseconds of a word's key, of a candidate pair of a key, and of a comparison with a word.
+#: Rough nanoseconds of a word's key, of a candidate pair of a key, and of a pair of a tile.
 KEY_NS, CANDIDATE_NS, PAIR_NS = 1000.0, 12.0, 2.0
+#: Words of a tile at most (about), tiles at least if there are words for them, words of such a tile.
+TILE, TILES, TILE_LEAST = 1 << 16, 16, 1024
 #: Words that a pass decides, comparisons at a time, and windows of ranks that are counted.
 PASS, AT_ONCE, WINDOWS = 1 << 16, 1 << 19, 4096
 
@@ -71,16 +73,64 @@ def compares_all(n: int, threshold: int, most_keys: int = MOST_KEYS) -> bool:
     return PAIR_NS * n / 2 <= math.comb(threshold + agree, agree) * (KEY_NS + CANDIDATE_NS * candidates)
 
 
+def _close(left: np.ndarray, right: np.ndarray, threshold: int, own: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words of two arrays within ``threshold`` bits, some pairs at a time; ``own``: of one array with itself, each pair once."""
+    at = 0
+    while at < len(left):
+        some, others = left[at : at + max(1, AT_ONCE // max(1, len(right)))], right[at:] if own else right
+        bits = np.bitwise_count(some.view(np.uint64)[:, None] ^ others.view(np.uint64)[None])
+        i, j = np.divmod(np.flatnonzero(bits <= threshold), max(1, len(others)))
+        if own:
+            i, j = i[j > i], j[j > i]
+        if len(i):
+            yield some[i], others[j]
+        at += len(some)
+
+
+def all_pairs(fps: DataFrame, n: int, threshold: int) -> DataFrame:
+    """(a, b) with a < b: of ``n`` distinct values ``fp`` those within ``threshold`` bits, by comparing all of them.
+
+    Words are dealt over tiles, and every two tiles meet in a cell of their own, so that a task
+    holds two tiles and each pair comes once.
+    """
+    ensure_workers_see_package(fps.sparkSession)
+    tiles = max(1, math.ceil(n / TILE), min(TILES, n // TILE_LEAST))
+    packed = cut_lineage(fps.groupBy(F.pmod(F.xxhash64("fp"), F.lit(tiles)).alias("tile")).agg(F.collect_set("fp").alias("words")))
+    cells = packed.select("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("other"), "words")
+    cells = cells.select(F.least("tile", "other").cast("int").alias("i"), F.greatest("tile", "other").cast("int").alias("j"), "words")
+    cells = cells.repartition(min(TILE, tiles * (tiles + 1) // 2), "i", "j").sortWithinPartitions("i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, first = None, None
+        for batch in batches:
+            for i, j, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                words = x.values.to_numpy(zero_copy_only=False)
+                if i != j and at != (i, j):
+                    at, first = (i, j), words
+                    continue
+                for a, b in _close(words if i == j else first, words, threshold, i == j):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return cells.mapInArrow(run, "a bigint, b bigint")
+
+
 def near_pairs(fps: DataFrame, threshold: int = 8, agree: int | None = None, bucket: int = BUCKET, most_keys: int = MOST_KEYS) -> DataFrame:
     """(a, b) with a < b: distinct values ``fp`` within ``threshold`` bits, complete.
 
     Without ``agree`` the words are counted and the blocking follows their number, so that
-    the candidates of a key stay few as the table grows. Words of a key that still holds more
+    the candidates of a key stay few as the table grows; where even that costs more than
+    comparing all words (see ``compares_all``), they are compared in tiles. Words of a key that still holds more
     than ``bucket`` words (real spectra crowd few keys) are blocked again by one block more:
     both words of a pair in such a key are among them, so none is lost. Blocking ends where
     more blocks would take over ``most_keys`` keys a word.
     """
-    agree, found = agree or best_agreement(fps.count(), threshold, most_keys=most_keys), []
+    if not agree:
+        fps = cut_lineage(fps)
+        n = fps.count()
+        if compares_all(n, threshold, most_keys):
+            return all_pairs(fps, n, threshold)
+        agree = best_agreement(n, threshold, most_keys=most_keys)
+    found = []
     while True:
         masks = F.array(*[F.lit(m).cast("bigint") for m in block_masks(threshold, agree)])
         keyed = fps.select("fp", F.posexplode(masks).alias("slot", "mask")).select("fp", "slot", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))

@@ -1,4 +1,4 @@
-"""Near-duplicates at thresholds too wide for blocks of bits: passes for the greedy rule."""
+"""Near-duplicates at thresholds too wide for blocks of bits: tiles for pairs, passes for the greedy rule."""
 
 import numpy as np
 import pytest
@@ -20,6 +20,16 @@ def far(a: int, b: int) -> int:
     return ((a ^ b) & (2**64 - 1)).bit_count()
 
 
+@pytest.mark.parametrize("tile", [1 << 16, 100])
+def test_pairs_come_from_tiles_without_keys(spark, monkeypatch, tile):
+    monkeypatch.setattr(dedup, "TILE", tile)
+    given = words(400, 1)
+    made = dedup.near_pairs(spark.createDataFrame([(x,) for x in [*given, None]], "fp long").repartition(3), THRESHOLD)
+    assert "posexplode" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r.a, r.b) for r in made.collect()]
+    assert sorted(got) == sorted((a, b) for a in given for b in given if a < b and far(a, b) <= THRESHOLD)
+
+
 @pytest.mark.parametrize(("at_once", "windows"), [(1 << 16, 4096), (60, 20)])
 def test_the_greedy_rule_lists_no_pairs(spark, monkeypatch, at_once, windows):
     monkeypatch.setattr(dedup, "PASS", at_once, raising=False)
