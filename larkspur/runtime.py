@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ATTACH_ROWS = 1_000_000
+ATTACH_BYTES = 32 << 20
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -46,13 +47,17 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
-def attach(df: DataFrame, narrow: DataFrame, on: Column, how: str = "left", limit: int = ATTACH_ROWS) -> DataFrame:
-    """``df``, whose rows hold audio, joined with a narrow table: counted first, and broadcast up to ``limit`` rows.
+def attach(df: DataFrame, narrow: DataFrame, on: Column, how: str = "left", limit: int = ATTACH_ROWS, most_bytes: int = ATTACH_BYTES) -> DataFrame:
+    """``df``, whose rows hold audio, joined with a narrow table: measured first, and broadcast up to ``limit`` rows and ``most_bytes`` of cells.
 
-    So wide rows stay where they are; only beyond the bound do both sides shuffle.
+    So wide rows stay where they are; only beyond a bound do both sides shuffle. A broadcast table
+    passes through the driver and lies in every executor, and few rows may hold long texts, which
+    estimates from compressed files don't tell.
     """
     narrow = cut_lineage(narrow)
-    return df.join(F.broadcast(narrow) if narrow.count() <= limit else narrow, on, how)
+    cells = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)).cast("bigint") for c in narrow.columns]
+    rows, held = narrow.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(cells, F.lit(0).cast("bigint"))), F.lit(0))).first()
+    return df.join(F.broadcast(narrow) if rows <= limit and held <= most_bytes else narrow.hint("merge"), on, how)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
